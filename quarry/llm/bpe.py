@@ -11,6 +11,7 @@ any length are encoded whole; other columns are ignored, so their names can't cl
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -28,7 +29,7 @@ CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 400_000, 1_000_000, 64
 SHORT = 48
 #: Rows and characters that are tokenised at once.
 SLICE_ROWS, SLICE_CHARS = 256, 2_000_000
-END = "</w>"
+END, STOP = "</w>", "\n"
 
 
 def byte_symbols() -> list[str]:
@@ -45,7 +46,7 @@ class WordBpe:
     plain = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
     letters = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
     numbers = "0-9\xb2\xb3\xb9\xbc-\xbe"
-    words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
+    words = re.compile(f"[{letters}]+|[{numbers}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{letters}{numbers}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,10 +62,7 @@ class WordBpe:
         self.final = {t[: -len(END)]: i for t, i in vocab.items() if t.endswith(END)}
         self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
         self.made = [token for _, token in self.merges.values()]
-        self.longest: dict[str, int] = {}  # of tokens that begin with these characters
-        for t in chain(self.inner, self.final):
-            for k in range(1, 5):
-                self.longest[t[:k]] = max(len(t), self.longest.get(t[:k], 0))
+        self.longest = None
         self.bytes = byte_symbols()
         self.library = Tokenizer.from_file(path)
         self.whole: dict[int, bool] = {}
@@ -121,23 +119,30 @@ class WordBpe:
             known = self.whole[token] = self.merge(self.parts(token)) == [token]
         return known
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match over tokens that encode to themselves."""
-        out, at, n = [], 0, len(word)
-        inner, final, longest, fine = self.inner, self.final, self.longest, self.self_made
-        while at < n:
-            most = longest.get(word[at : at + 4]) or 3
-            if n - at <= most and (token := final.get(word[at:])) is not None and fine(token):
-                out.append(token)
-                break
-            for end in range(min(n - 1, at + most), at, -1):
-                if (token := inner.get(word[at:end])) is not None and fine(token):
-                    break
-            else:
-                end, token = at + 1, self.symbols(word[at], end=at + 1 == n)[0]
-            out.append(token)
-            at = end
-        return out
+    def matcher(self):
+        """Finds leftmost longest tokens in C; STOP after a word's symbols stands for the word's end."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for ending, table in (("", self.inner), (STOP, self.final)):
+            for text, token in table.items():
+                if self.self_made(token):
+                    found.add_word(text + ending, (token, len(text + ending)))
+        found.make_automaton()
+        return found
+
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match over tokens that encode to themselves: tokens, their words, and the words
+        whose end no token takes."""
+        if self.longest is None:
+            self.longest = self.matcher()
+        bounds = np.cumsum([len(w) + 1 for w in words])
+        ends, values = zip(*self.longest.iter_long(STOP.join(words) + STOP), strict=True)
+        tokens, lengths = np.array(values, np.int64).T
+        stops = np.array(ends, np.int64) + 1
+        owner = np.searchsorted(bounds, stops)
+        covered = np.bincount(owner, lengths, len(words))
+        return tokens, owner, np.flatnonzero(covered != np.diff(bounds, prepend=0))
 
     def fits(self, pair: int) -> bool:
         if (known := self.pairs.get(pair)) is None:
@@ -149,19 +154,22 @@ class WordBpe:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """words: in byte symbols, not empty."""
-        found = [self.propose(w) for w in words]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum()))
-        owner = np.repeat(np.arange(len(found)), lengths)
+        if not words:
+            return []
+        flat, owner, open_ended = self.propose(words)
         within = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, place = np.unique(flat[within] << 20 | flat[within + 1], return_inverse=True)
         good = np.fromiter(map(self.fits, pairs.tolist()), bool, len(pairs))
-        for i in np.unique(owner[within[~good[place]]]).tolist():
+        failed = np.union1d(owner[within[~good[place]]], open_ended)
+        cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        tokens = flat.tolist()
+        found = [tokens[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+        for i in failed.tolist():
             found[i] = self.merge(self.symbols(words[i]))
         return found
 
     def pre_tokens(self, text: str) -> list[str | int]:
-        """Words in byte symbols, and the ids of special tokens, which are matched in the raw text."""
+        """Words, and the ids of special tokens, which are matched in the raw text."""
         pieces = self.split.split(text) if self.split and "<|" in text else [text]
         out: list[str | int] = []
         for piece in pieces:
@@ -174,6 +182,12 @@ class WordBpe:
                 out += [self.words_of(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
+    def learn(self, new: list[str | int]) -> None:
+        words = [w for w in new if not isinstance(w, int)]
+        for w, ids in zip(words, self.encode_words([self.as_symbols(w) for w in words]), strict=True):
+            self.seen[w] = (" ".join(map(str, ids)), self.decode(ids))
+        self.seen |= {t: (str(t), self.tokens[t]) for t in new if isinstance(t, int)}
+
     def words_of(self, symbols: str) -> str:
         """The text of byte symbols, kept as bytes where it isn't one."""
         return bytes(map(self.byte_of.__getitem__, symbols)).decode("utf-8", "surrogateescape")
@@ -189,17 +203,13 @@ class WordBpe:
 
     def digest(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of tokens, ids joined by a blank, decoded text."""
+        gc.disable()  # nothing here is cyclic, and a large cache makes each collection long
         docs = [self.pre_tokens(t) for t in texts]
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
         seen = self.seen
         new = list(set(chain.from_iterable(filterfalse(seen.__contains__, words) for words in docs)))
-        for w in new:
-            if isinstance(w, int):
-                seen[w] = (str(w), self.tokens[w])
-        new = [w for w in new if not isinstance(w, int)]
-        for w, ids in zip(new, self.encode_words([self.as_symbols(w) for w in new]), strict=True):
-            seen[w] = (" ".join(map(str, ids)), self.decode(ids))
+        self.learn(new)
         for words in docs:
             if not words:
                 yield 0, "", ""
@@ -207,7 +217,7 @@ class WordBpe:
             ids, decoded = map(" ".join, zip(*map(seen.__getitem__, words)))  # noqa: B905
             yield ids.count(" ") + 1, ids, decoded
         for w in new:
-            if len(w) > LONG_WORD:
+            if isinstance(w, str) and len(w) > LONG_WORD:
                 del seen[w]
 
     def encode(self, text: str | None) -> list[int]:

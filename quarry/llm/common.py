@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import ship
+
 #: Bytes up to which a side may be broadcast; its size is counted first.
 BROADCAST_BYTES = 16 << 20
 
@@ -61,4 +63,4 @@ def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")

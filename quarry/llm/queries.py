@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, mixing, sharding
+from quarry.llm import bpe, langid, minhash, mixing, sharding
 from quarry.llm.common import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -32,8 +32,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.write_shards(docs, N_SHARDS, sharding.default_path(docs)))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding, op4_langid, op9_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
