@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, langid, minhash, mixing, sharding
+from quarry.llm import bpe, embdup, langid, minhash, mixing, pii, secrets, sharding, topk, toxicity
 from quarry.llm.common import read
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,12 +37,33 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op5_embdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding, op4_langid, op9_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_mixing, op3_sharding, op4_langid, op5_embdup, op6_pii, op7_secrets, op8_toxicity, op9_minhash, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
