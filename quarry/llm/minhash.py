@@ -7,9 +7,11 @@ bits of all minima are packed into four longs, from whose bit counts the similar
 for chance collisions, before any text moves.
 
 A band's bucket never yields all its pairs. First each member is tested with the least and the greatest
-member (a star); then only pairs of members that are still in different components, and whose estimate
-allows a link, are tested. So connectivity is that of all candidate pairs. Pairs that differ in size too
-much, or whose estimate is five standard deviations below the threshold, are dropped.
+member (a star); then only members that are still in different components, and whose estimate allows a link,
+are tested: in buckets of SMALL members as pairs, in larger ones within tiles of two blocks of at most BLOCK
+members, which send on only the links that join components. So connectivity is that of all candidate pairs.
+Pairs that differ in size too much, or whose estimate is five standard deviations below the threshold, are
+dropped.
 
 Defined results: a document without words, or with a null text, has no set, links with nothing and is kept;
 one with fewer than five words has its whole word sequence as only shingle; a null doc_id links with nothing
@@ -36,6 +38,7 @@ PERCENT = 85
 #: Five standard deviations of the estimate below the threshold.
 DEVIATIONS = 5.0
 CACHE_WORDS = 500_000
+SMALL, BLOCK, COLUMNS = 16, 256, 8192
 _r = np.random.default_rng(20240501)
 PLACE = _r.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 SALT = _r.integers(1, 1 << 63, WORDS, dtype=np.uint64)
@@ -127,10 +130,7 @@ def possible(a: str, b: str, percent: int) -> Column:
     differ = [F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}")) for i in range(4)]
     lanes = sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(low))) for x in differ[1:]), F.bit_count(differ[0].bitwiseOR(F.shiftrightunsigned(differ[0], 1)).bitwiseAND(F.lit(low))))
     estimate = ((1 - lanes / MINIMA) - 0.25) / 0.75
-    j = percent / 100
-    m = 0.25 + 0.75 * j
-    least = j - DEVIATIONS * (m * (1 - m) / MINIMA) ** 0.5 / 0.75
-    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & (estimate >= least)
+    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & (estimate >= least_possible(percent))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -154,6 +154,73 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
+def least_possible(percent: int) -> float:
+    """The estimate five standard deviations below the threshold."""
+    j = percent / 100
+    m = 0.25 + 0.75 * j
+    return j - DEVIATIONS * (m * (1 - m) / MINIMA) ** 0.5 / 0.75
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, from the shingles that two sets at least share."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[owner[a:b], column[a:b] - at] = 1
+        total += grid @ grid.T
+    return total
+
+
+def tile_links(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """rows: key, rep, root, size, n, p0..p3. Links (a, b) that join different roots, found in each bucket's
+    tiles of two blocks; a tile sends on one less than its members at most."""
+    ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "near-large")
+    texts = docs.select("doc_id", "text").join(bounded(ids, ids.count(), 16), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cells = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "root", "n", "p0", "p1", "p2", "p3").join(texts, "rep")
+    least = least_possible(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, root, n = (table[c].to_numpy() for c in ("rep", "root", "n"))
+        packed = [table[f"p{i}"].to_numpy().view(np.uint64) for i in range(4)]
+        lanes = np.zeros((len(rep), len(rep)), np.int64)
+        for p in packed:
+            x = p[:, None] ^ p[None, :]
+            lanes += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+        near = (((1 - lanes / MINIMA) - 0.25) / 0.75 >= least) & (root[:, None] != root[None, :])
+        near &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
+        use = np.flatnonzero(near.any(axis=1))
+        links = []
+        if len(use):
+            sets = [shingles(t) for t in table["text"].take(pa.array(use)).to_pylist()]
+            size = np.array([len(s) for s in sets], np.float64)
+            both = overlaps(sets)
+            good = near[np.ix_(use, use)] & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+            group = {r: r for r in root[use].tolist()}
+
+            def top(r: int) -> int:
+                while group[r] != r:
+                    group[r] = r = group[group[r]]
+                return r
+
+            for i, j in zip(*np.nonzero(np.triu(good)), strict=True):
+                a, b = top(int(root[use[i]])), top(int(root[use[j]]))
+                if a != b:
+                    group[max(a, b)] = min(a, b)
+                    links.append((int(rep[use[i]]), int(rep[use[j]])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return cells.groupBy("key", "first", "second").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For each document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -163,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = sets.join(reps.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select("doc_id", "rep")
     sketch = reps.select("rep", "n", "p0", "p1", "p2", "p3")
     keys = reps.select("rep", F.explode("bands").alias("key"))
-    stars = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    stars = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).filter("low < high")
     buckets = cut(keys.join(stars, "key"), "near-buckets")
     sides = buckets.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(buckets.select("rep", "high")).filter("a < b").distinct()
     tested = sides.alias("e").join(sketch.alias("x"), F.col("e.a") == F.col("x.rep")).join(sketch.alias("y"), F.col("e.b") == F.col("y.rep")).filter(possible("x", "y", percent)).select("a", "b")
@@ -173,13 +240,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     twins = members.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     links = cut(verified(tested, docs, percent).union(twins), "near-links")
     roots = connected(links)
-    rest = buckets.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    rest = buckets.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
     mixed_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     open_rows = cut(rest.join(mixed_keys, "key").join(sketch, "rep"), "near-open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    few = open_rows.filter(F.col("size") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y", percent))
     fresh = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = cut(verified(cut(fresh, "near-rest"), docs, percent), "near-more")
+    by_pair = verified(cut(fresh, "near-rest"), docs, percent)
+    more = cut(by_pair.union(tile_links(open_rows.filter(F.col("size") > SMALL), docs, percent)), "near-more")
     roots = connected(links.union(more))
     rep_root = roots.withColumnRenamed("id", "rep")
     parts = members.join(rep_root, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
