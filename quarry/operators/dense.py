@@ -21,11 +21,11 @@ def unit(v: Column) -> Column:
 
 
 def adjacent_distances(vectors: DataFrame, stream: str, order: str) -> DataFrame:
-    """stream, left, right, distance (6 decimals): cosine distance of neighbours within each stream."""
+    """stream, left_id, right_id, distance (6 decimals): cosine distance of neighbours within each stream."""
     w = W.partitionBy(stream).orderBy(order)
     rows = vectors.select(stream, order, unit(F.col("embedding")).alias("v"))
-    paired = rows.withColumn("right", F.lead(order).over(w)).withColumn("next", F.lead("v").over(w)).filter("right is not null")
-    return paired.select(stream, F.col(order).alias("left"), "right", F.round(1 - dot(F.col("v"), F.col("next")), 6).alias("distance"))
+    paired = rows.withColumn("right_id", F.lead(order).over(w)).withColumn("next", F.lead("v").over(w)).filter("right_id is not null")
+    return paired.select(stream, F.col(order).alias("left_id"), "right_id", F.round(1 - dot(F.col("v"), F.col("next")), 6).alias("distance"))
 
 
 def scored(queries: DataFrame, corpus: DataFrame, on: list[str] | None = None) -> DataFrame:

@@ -46,5 +46,5 @@ def trailing_page_markers(blocks: DataFrame, key: str = "doc_id", page: str = "p
 
 def block_range(streams: DataFrame, field: str, key: str = "doc_id") -> DataFrame:
     """First and last non-null value of a field in each stream."""
-    pick = lambda f: f(F.when(F.col(field).isNotNull(), F.struct("block_order", field)))[field]
+    pick = lambda f: f(F.when(F.col(field).isNotNull(), F.struct("block_order", F.col(field).alias("value"))))["value"]
     return streams.groupBy(key, "stream_no").agg(pick(F.min).alias(f"{field}_start"), pick(F.max).alias(f"{field}_end"), F.count("*").alias("n_blocks"))

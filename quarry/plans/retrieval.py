@@ -98,7 +98,7 @@ def sentence_pack_overlap(spark, d):
 
 def semantic_chunks(spark, d):
     """Vectors of a label are the sentences of a stream; their sizes follow from their ids."""
-    far = dense.adjacent_distances(read(spark, d, "embeddings"), "label", "vec_id").select("label", F.col("left").alias("vec_id"), "distance")
+    far = dense.adjacent_distances(read(spark, d, "embeddings"), "label", "vec_id").select("label", F.col("left_id").alias("vec_id"), "distance")
     rows = read(spark, d, "embeddings").join(far, ["label", "vec_id"], "left")
     place = (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
     sentences = rows.select(F.col("label").cast("long").alias("doc_id"), place.alias("sentence_index"), (F.col("vec_id") % 400 + 50).alias("n_tokens"), F.coalesce(F.col("distance") > 1.0, F.lit(False)).alias("cut_after"))
@@ -120,7 +120,7 @@ def distance_percentiles(spark, d):
 
 
 def semantic_cuts(spark, d):
-    return adjacent_distance(spark, d).filter("distance > 1.05").groupBy("label").agg(F.count("*").alias("n_cuts"), F.min("left").alias("first_cut"))
+    return adjacent_distance(spark, d).filter("distance > 1.05").groupBy("label").agg(F.count("*").alias("n_cuts"), F.min("left_id").alias("first_cut"))
 
 
 def vectors(spark, d):
@@ -350,7 +350,7 @@ ISLANDS = f"{LINES}, c AS (SELECT *, CASE WHEN lag(section_path) OVER (PARTITION
 CHUNKS = "ch AS (SELECT doc_id, text, i AS chunk_order, (i - 1) * {step} AS char_start, least((i - 1) * {step} + {size}, n) AS char_end FROM (SELECT doc_id, text, length(text) AS n, unnest(range(1, CAST(greatest(1, ceil((length(text) - {overlap}) / {step}::DOUBLE)) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0))"
 C512 = CHUNKS.format(step=410, size=512, overlap=102)
 SENT = r"sent AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])(\s+)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '') AS s FROM documents), se AS (SELECT doc_id, length(unnest(s)) AS n, generate_subscripts(s, 1) - 1 AS i FROM sent)"
-DIST = f"{UNIT}, adj AS (SELECT label, vec_id AS left, lead(vec_id) OVER w AS right, round(1 - list_cosine_similarity(e, lead(e) OVER w), 6) AS distance FROM vec WINDOW w AS (PARTITION BY label ORDER BY vec_id)), dist AS (SELECT * FROM adj WHERE right IS NOT NULL)"
+DIST = f"{UNIT}, adj AS (SELECT label, vec_id AS left_id, lead(vec_id) OVER w AS right_id, round(1 - list_cosine_similarity(e, lead(e) OVER w), 6) AS distance FROM vec WINDOW w AS (PARTITION BY label ORDER BY vec_id)), dist AS (SELECT * FROM adj WHERE right_id IS NOT NULL)"
 GRAMS = "list_distinct(list_transform(range(1, greatest(length({x}) - 3, 1)), lambda i: substr({x}, i, 5)))"
 
 
@@ -376,7 +376,7 @@ SQL = {
     "oversized_sentence_windows": f"WITH {SENT} SELECT doc_id, i AS sentence_index, CAST(greatest(1, ceil((n - 51) / 249::DOUBLE)) AS BIGINT) AS n_windows FROM se WHERE n > 300",
     "adjacent_distance": f"WITH {DIST} SELECT * FROM dist",
     "distance_percentiles": f"WITH {DIST} SELECT " + ", ".join(f"round(quantile_cont(distance, {p}), 5) AS p{round(p * 100)}" for p in (0.0, 0.05, 0.25, 0.5, 0.75, 0.83, 0.9, 0.95, 0.99, 1.0)) + ", round(stddev_pop(distance), 5) AS deviation FROM dist",
-    "semantic_cuts": f"WITH {DIST} SELECT label, count(*) AS n_cuts, min(left) AS first_cut FROM dist WHERE distance > 1.05 GROUP BY label",
+    "semantic_cuts": f"WITH {DIST} SELECT label, count(*) AS n_cuts, min(left_id) AS first_cut FROM dist WHERE distance > 1.05 GROUP BY label",
     "knn_cosine": f"WITH {NEAR} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM near WHERE rank <= 5",
     "knn_filtered": f"WITH {UNIT}, near AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, e), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, e), 6) DESC, vec_id) AS rank FROM qv JOIN vec ON label = q_label) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM near WHERE rank <= 5",
     "bm25_stats": f"WITH {TOKENS} SELECT count(*) AS n_docs, round(avg(len(t)), 6) AS avgdl FROM toks WHERE len(t) > 0",
