@@ -71,7 +71,7 @@ REACH = "reach(id, root) AS (SELECT id, id FROM ids UNION SELECT l.b, r.root FRO
 
 SQL = {
     "op5_embdup": f"WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.93), ids AS (SELECT vec_id AS id FROM v), {REACH}, n AS (SELECT id, count(*) AS n_links FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id) SELECT id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, id = component_id AS kept FROM comp LEFT JOIN n USING (id)",
-    "op9_minhash": rf"WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda t: t <> '') AS w FROM documents), s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT y.doc_id AS a, z.doc_id AS b, any_value(y.n) AS na, any_value(z.n) AS nb, count(*) AS c FROM x y JOIN x z ON y.g = z.g AND y.doc_id < z.doc_id GROUP BY ALL), links AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)), ids AS (SELECT doc_id AS id FROM documents), {REACH} SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN comp ON id = doc_id",
+    "op9_minhash": rf"WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS w FROM documents), s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT y.doc_id AS a, z.doc_id AS b, any_value(y.n) AS na, any_value(z.n) AS nb, count(*) AS c FROM x y JOIN x z ON y.g = z.g AND y.doc_id < z.doc_id GROUP BY ALL), links AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)), ids AS (SELECT doc_id AS id FROM documents), {REACH} SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN comp ON id = doc_id",
     "op10_topk": "WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS q FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 20",
 }
 
