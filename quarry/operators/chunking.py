@@ -125,14 +125,14 @@ def repaired(chunks: list[Chunk], lengths: list[int], limit: int, least: int) ->
         return chunks
     if left.size + new <= limit:
         return [*chunks[:-2], replace(left, last=right.last, size=left.size + new, mode="merged_with_previous")]
-    moved = 0
+    # whole sentences that begin in the chunk before, ahead of what the last chunk already shares with it
+    shared = right.offset if right.offset else 0
     for k in range(left.last, left.first, -1):
-        moved += lengths[k]
-        if new + moved > limit:
-            break
-        keeps = left.size - moved - left.overlap > 0
-        if new + moved >= least and keeps:
-            return [*chunks[:-2], replace(left, last=k - 1, size=left.size - moved), Chunk(k, right.last, new + moved, mode="whole_sentence_rebalance")]
+        if sum(lengths[k : right.first]) <= shared:
+            continue
+        size, given = sum(lengths[k : right.last + 1]), sum(lengths[k : left.last + 1])
+        if least <= size <= limit and left.size - given - left.overlap > 0:
+            return [*chunks[:-2], replace(left, last=k - 1, size=left.size - given), Chunk(k, right.last, size, mode="whole_sentence_rebalance")]
     if right.overlap and right.size >= least:
         return [*chunks[:-1], replace(right, mode="existing_overlap_context")]
     lean = min(least - new, left.size, limit - new)
