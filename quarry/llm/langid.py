@@ -20,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The bounded sample: labelled documents that the network is fitted on, and windows from each.
 SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 4000, 4
 WINDOW, CLASSES, FILTERS, WIDTHS = 128, 64, 12, (2, 3, 4)
-EPOCHS, BATCH, RATE, FOLDS = 6, 256, 0.01, 5
+EPOCHS, STEPS, BATCH, RATE, FOLDS = 6, 400, 256, 0.01, 5
 UNKNOWN = "und"
 letter = re.compile(r"[^\W\d_]")
 
@@ -54,7 +55,8 @@ class Network:
         params = [*self.filters, self.out, self.bias]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         column = np.arange(FILTERS)[None, :]
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS // -(-len(windows) // BATCH)))  # a small sample is read more often
+        for epoch in range(epochs):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
@@ -72,7 +74,7 @@ class Network:
                     grads.append(g)
                 grads += [h.T @ d + 1e-4 * self.out, d.sum(axis=0)]
                 step += 1
-                rate = RATE * (0.5 ** (epoch / 2))
+                rate = RATE * 0.125 ** (epoch / epochs)
                 for p, g, m, v in zip(params, grads, first, second, strict=True):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
@@ -190,4 +192,7 @@ def in_known_language(docs: DataFrame, net: Network | None, least: float = 0.0)
                 good += [lang != UNKNOWN and score >= least for lang, score in (scorer.predict(part) if scorer else [(UNKNOWN, 0.0)] * len(part))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # by place: a name with a dot in it can't be looked up
+    named = [f"c{i}" for i in range(len(columns))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(named, docs.schema, strict=True)])
+    return docs.toDF(*named).mapInArrow(run, schema).toDF(*columns)

@@ -125,9 +125,17 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def rewritten(text: Column, spans: Column) -> Column:
-    """text with each span, in order of start and without overlaps, replaced by its kind in brackets."""
-    done = F.aggregate(spans, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at")), lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["out"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"), s["end"].alias("at"))))
-    return F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    """text with each span, in order of start, replaced by its kind in brackets. What reaches beyond an earlier
+    span that it overlaps is replaced too, so nothing of a span is left."""
+    ends = F.transform(spans, lambda s: s["end"])
+    covered = lambda i: F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0).cast("long"))
+    cut_out = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
+
+    def piece(s: Column, i: Column) -> Column:
+        name = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return F.concat(cut_out(covered(i), s["start"]), F.when(s["end"] > covered(i), name).otherwise(""))
+
+    return F.concat(F.array_join(F.transform(spans, piece), ""), cut_out(covered(F.size(spans)), F.length(text)))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
@@ -142,5 +150,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
     rows, n_spans = plan.agg(F.count("*"), F.sum(F.size("__spans"))).first()
     joined = docs.join(bounded(plan, rows * 32 + (n_spans or 0) * 48, 1), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("__spans")))
-    size = {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return joined.select(*[({"text": text} | size).get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    names = docs.columns
+    rewritten_rows = joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
+    if "n_chars" not in names:
+        return rewritten_rows
+    # of the text as it is now: counted from the column, in a step of its own
+    counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rewritten_rows.select(*[counted.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
