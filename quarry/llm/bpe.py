@@ -23,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import holding
+
 #: Words and pairs that a task remembers; beyond that it starts anew.
-CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 400_000, 1_000_000, 64
+CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 250_000, 300_000, 64
 #: Symbols up to which merging looks through all pairs instead of keeping a heap.
 SHORT = 48
 #: Rows and characters that are tokenised at once.
@@ -203,7 +205,6 @@ class WordBpe:
 
     def digest(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of tokens, ids joined by a blank, decoded text."""
-        gc.disable()  # nothing here is cyclic, and a large cache makes each collection long
         docs = [self.pre_tokens(t) for t in texts]
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
@@ -236,6 +237,7 @@ def load(path: str) -> WordBpe:
     """One vocabulary for each worker process."""
     if path not in _loaded:
         _loaded[path] = WordBpe(path)
+        gc.freeze()  # the vocabulary needs no looking at in each collection
     return _loaded[path]
 
 
@@ -258,6 +260,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("bpe", _loaded.clear)
         bpe = load(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogateescape")).hexdigest()
         for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,14 @@ def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holding(name: str, clear: Callable[[], None]) -> None:
+    """In a Python worker: an operator that keeps a cache between tasks says so, and those of other operators
+    that ran there before are emptied."""
+    for other in [n for n in _held if n != name]:
+        _held.pop(other)()
+    _held[name] = clear

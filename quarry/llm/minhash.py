@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, cut
+from quarry.llm.common import bounded, cut, holding
 from quarry.llm.components import connected
 
 WORDS, MINIMA, BANDS, ROWS = 5, 128, 21, 6
@@ -37,7 +37,7 @@ WORDS, MINIMA, BANDS, ROWS = 5, 128, 21, 6
 PERCENT = 85
 #: Five standard deviations of the estimate below the threshold.
 DEVIATIONS = 5.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 SMALL, BLOCK, COLUMNS = 16, 256, 8192
 _r = np.random.default_rng(20240501)
 PLACE = _r.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -106,6 +106,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n, f1, f2, bands, p0..p3; bands and the rest are null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("minhash", _words.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
