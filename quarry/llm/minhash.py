@@ -2,8 +2,8 @@
 
 Texts are lower-cased in A-Z and cut into words `[^\\x20\\x09-\\x0D]+`; a document's set holds its distinct
 runs of five words. Equal sets (by two 64-bit sums of their hashes and their size) fall into one class with
-one representative. Representatives get 128 minima: 21 bands of six minima give candidates, and the two low
-bits of all minima are packed into four longs, from whose bit counts the similarity is estimated, corrected
+one representative. Representatives get 128 minima: bands of them (21 of six for op9_minhash's 85 %, 25 of five
+for the 80 % of the pipeline's stage) give candidates, and the two low bits of all minima are packed into four longs, from whose bit counts the similarity is estimated, corrected
 for chance collisions, before any text moves.
 
 A band's bucket never yields all its pairs. First each member is tested with the least and the greatest
@@ -32,9 +32,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bounded, cut, holding
 from quarry.llm.components import connected
 
-WORDS, MINIMA, BANDS, ROWS = 5, 128, 21, 6
-#: Similarity from which documents link, as a fraction of the union in percent.
-PERCENT = 85
+WORDS, MINIMA, ROWS = 5, 128, 6
+#: Similarity from which documents link, as a fraction of the union in percent: what op9_minhash asks for, and
+#: what a stage without a contract of its own takes.
+PERCENT, STAGE_PERCENT = 85, 80
+#: Share of pairs at the threshold itself that may meet in no band.
+MISS = 1e-4
 #: Five standard deviations of the estimate below the threshold.
 DEVIATIONS = 5.0
 CACHE_WORDS = 250_000
@@ -89,21 +92,29 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 LANES = np.uint64(2) * np.arange(32, dtype=np.uint64)
-BAND = np.repeat(np.arange(BANDS, dtype=np.uint64), ROWS).reshape(BANDS, ROWS)
-BAND_PLACE = _r.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+BAND_PLACE = _r.integers(1, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
 
 
-def signature(hashes: np.ndarray) -> tuple:
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and minima in each: as many minima, up to ROWS, as let no more than MISS of the pairs at the threshold apart."""
+    j = percent / 100
+    rows = next((r for r in range(ROWS, 1, -1) if (1 - j**r) ** (MINIMA // r) <= MISS), 1)
+    return MINIMA // rows, rows
+
+
+def signature(hashes: np.ndarray, n_bands: int, n_rows: int) -> tuple:
     """Two sums over the set, band hashes, packed low bits; signed 64-bit."""
     m = minima(hashes).astype(np.uint64)
-    bands = mixed((m[: BANDS * ROWS].reshape(BANDS, ROWS) * BAND_PLACE).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
+    n = n_bands * n_rows
+    bands = mixed((m[:n] * BAND_PLACE[:n]).reshape(n_bands, n_rows).sum(axis=1) + np.arange(n_bands, dtype=np.uint64))
     packed = ((m & np.uint64(3)).reshape(4, 32) << LANES).sum(axis=1, dtype=np.uint64)
     sums = np.array([hashes.sum(dtype=np.uint64), mixed(hashes ^ SALT[0]).sum(dtype=np.uint64)])
     return sums.view(np.int64).tolist(), bands.view(np.int64).tolist(), packed.view(np.int64).tolist()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, f1, f2, bands, p0..p3; bands and the rest are null where the set is empty."""
+    n_bands, n_rows = layout(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding("minhash", _words.clear)
@@ -114,7 +125,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for text in part.column(1):
                     found = shingles(text.as_py())
                     if len(found):
-                        (f1, f2), bands, packed = signature(found)
+                        (f1, f2), bands, packed = signature(found, n_bands, n_rows)
                         rows.append((len(found), f1, f2, bands, *packed))
                     else:
                         rows.append((0, *[None] * 7))
@@ -225,7 +236,7 @@ def tile_links(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For each document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(signatures(docs), "near-signatures")
+    found = cut(signatures(docs, percent), "near-signatures")
     sets = found.filter("n > 0 and doc_id is not null")
     reps = cut(sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("bands", "p0", "p1", "p2", "p3")]), "near-classes")
     members = sets.join(reps.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select("doc_id", "rep")
@@ -257,7 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The documents that are kept, with the columns of docs. Of several rows with one doc_id, the one with
     the least text stays, if any does."""
     found = near_duplicates(docs, percent)
