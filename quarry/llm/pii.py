@@ -1,13 +1,20 @@
-"""Personal data: patterns, and information-theoretic sanitisation of the terms around them.
+"""Personal data: patterns, and information-theoretic sanitisation of the terms that go with them.
 
-Emails, addresses, cards and phone numbers are found by pattern and check. Terms (words of at least four letters)
-within AROUND code points of such an entity are its co-occurrences. A term discloses an entity as far as their
-pointwise mutual information, over all documents of the corpus, reaches the entity's information content:
+Emails, addresses, cards and phone numbers are found by pattern and check. A document holds such an entity, or a
+term (a word of at least four letters), if it occurs anywhere in its text. A term discloses an entity as far as
+their pointwise mutual information, over all documents of the corpus, reaches the entity's information content:
 
     PMI(t; e) / IC(e) = ln(n_te * N / (n_t * n_e)) / ln(N / n_e)
 
-with n_te documents that hold t near e, n_t that hold t anywhere, n_e that hold e, of N. From DISCLOSURE on, with
-SUPPORT documents at least, the term is generalised around that entity. Everything is DataFrame expressions.
+with n_te documents that hold both, n_t that hold t, n_e that hold e, of N. From DISCLOSURE on, with SUPPORT
+documents at least, all occurrences of the term are generalised in the documents that hold the entity. Everything
+is DataFrame expressions.
+
+Only pairs that can reach the threshold are counted. As n_te is n_e at most, a pair discloses only if
+
+    n_t <= n_e * (N / n_e) ** (1 - DISCLOSURE)
+
+and entities of the same documents are counted as one.
 
 Defined results: a null text counts as empty; documents without an entity are left as they are; repeated rows are
 documents of their own; an empty table gives an empty result; only doc_id and text are read.
@@ -21,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded, cut
-from quarry.llm.spans import AROUND, apart, as_text, located, matches, pieces
+from quarry.llm.spans import apart, as_text, located, matches, pieces
 
 DISCLOSURE, SUPPORT, LETTERS = 0.9, 2, 4
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -58,56 +65,80 @@ def valid(kind: Column, value: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """uid, doc_id and the raw matches of each kind, written once: later steps don't read texts again."""
+    """uid, doc_id, the raw matches of each kind and, where one of them is an entity, the text, written once:
+    later steps don't read all texts again."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[matches(pieces(text, PATTERNS[k], may_hold(k, text)), AROUND).alias(k) for k in KINDS])
-    return cut(found.withColumn("uid", F.monotonically_increasing_id()), "pii-scan")
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"), *[matches(pieces(text, PATTERNS[k], may_hold(k, text))).alias(k) for k in KINDS])
+    of_kind = lambda k: F.coalesce(F.exists(f"{k}.found", lambda m: valid(F.lit(k), m["value"])), F.lit(False))
+    holds = reduce(Column.__or__, map(of_kind, KINDS))
+    return cut(found.withColumn("text", F.when(holds, F.col("text"))).withColumn("uid", F.monotonically_increasing_id()), "pii-scan")
 
 
 def entities(scan: DataFrame) -> DataFrame:
-    """uid, place, kind, start, end, value, left, right of each base span."""
+    """uid, place, kind, start, end, value of each base span."""
     rows = reduce(DataFrame.unionByName, [located(scan, k, i) for i, k in enumerate(KINDS)])
     return rows.filter(valid(F.col("kind"), F.col("value")))
 
 
-def terms_near(base: DataFrame) -> DataFrame:
-    """uid, entity, term, start, end: the terms around each entity."""
-    key = F.concat_ws(":", "kind", F.when(F.col("kind").isin("card", "phone"), digits(F.col("value"))).otherwise(F.lower("value")))
-    sides = base.select("uid", key.alias("entity"), F.explode(F.array(F.struct((F.col("start") - F.length("left")).alias("from"), F.col("left").alias("side")), F.struct(F.col("end").alias("from"), F.col("right").alias("side")))).alias("s"))
-    parts = sides.select("uid", "entity", "s.from", F.split(F.regexp_replace(F.translate("s.side", "\x01", "\x02"), r"\p{L}+", "\x01$0\x01"), "\x01").alias("parts"))
-    # AROUND code points bound the number of parts
-    place = lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda a, x: a + F.length(x))
-    words = F.when(F.size("parts") > 1, F.transform(F.sequence(F.lit(1), F.floor(F.size("parts") / 2).cast("int")), lambda i: F.struct(F.lower(F.element_at("parts", i * 2)).alias("term"), place(i * 2 - 1).alias("at"), F.length(F.element_at("parts", i * 2)).alias("size"))))
-    found = parts.select("uid", "entity", "from", F.explode(words).alias("w")).filter(F.col("w.size") >= LETTERS)
-    return found.select("uid", "entity", "w.term", (F.col("from") + F.col("w.at")).alias("start"), (F.col("from") + F.col("w.at") + F.col("w.size")).alias("end"))
+def held(base: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """The entities that terms may disclose, those of the same documents as one: uid, entity pairs, and entity,
+    n_e, most (the documents that a term may occur in at most)."""
+    entity = F.concat_ws(":", "kind", F.when(F.col("kind").isin("card", "phone"), digits(F.col("value"))).otherwise(F.lower("value")))
+    pairs = cut(base.select("uid", entity.alias("entity")).distinct(), "pii-held")
+    sums = [F.sum(F.xxhash64(F.lit(seed), "uid").cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    sizes = pairs.groupBy("entity").agg(F.count("*").alias("n_e"), *sums).filter((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n_docs))
+    most = F.floor(F.col("n_e") * F.pow(F.lit(float(n_docs)) / F.col("n_e"), F.lit(1 - DISCLOSURE)) * (1 + 1e-9))
+    first = cut(sizes.groupBy("n_e", "sum1", "sum2").agg(F.min("entity").alias("entity")).select("entity", "n_e", most.alias("most")), "pii-entities")
+    return pairs.join(first.select("entity"), "entity", "left_semi"), first
+
 
+def terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    words = F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= LETTERS)
+    return F.array_distinct(F.transform(words, F.lower))
 
-def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+
+def frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """term, n_t: in how many of all documents each of the given terms occurs."""
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    n = terms.count()
+    found = texts.select(F.explode(terms(F.col("text"))).alias("term"))
+    n = wanted.count()
     if n * 64 <= 8 << 20:
-        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    return words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+        return found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    return found.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+
+
+def disclosing(docs: DataFrame, texts: DataFrame, base: DataFrame, n_docs: int) -> DataFrame:
+    """uid, term: the terms of each document that disclose an entity it holds."""
+    pairs, sizes = held(base, n_docs)
+    of_doc = cut(pairs.join(sizes, "entity"), "pii-of-doc")
+    uids = cut(of_doc.select("uid").distinct(), "pii-uids")
+    there = cut(texts.join(bounded(uids, uids.count(), 16), "uid", "left_semi").select("uid", F.explode(terms(F.col("text"))).alias("term")), "pii-there")
+    often = cut(there.groupBy("term").agg(F.count("*").alias("m_t")).filter(F.col("m_t") >= SUPPORT).select("term"), "pii-terms")
+    widest = sizes.agg(F.max("most")).first()[0] or 0
+    n_t = cut(frequencies(docs, often).filter(F.col("n_t") <= widest), "pii-frequencies")
+    both = cut(there.join(bounded(n_t, n_t.count(), 64), "term").join(of_doc, "uid").filter(F.col("n_t") <= F.col("most")), "pii-both")
+    counts = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.any_value("n_t").alias("n_t"), F.any_value("n_e").alias("n_e"))
+    share = F.log(F.col("n_te") * F.lit(float(n_docs)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n_docs)) / F.col("n_e"))
+    told = counts.filter((F.col("n_te") >= SUPPORT) & (share >= DISCLOSURE)).select("entity", "term")
+    return cut(both.join(told, ["entity", "term"], "left_semi").select("uid", "term").distinct(), "pii-told")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, n_docs: int) -> DataFrame:
-    """entity, term pairs that disclose."""
-    pairs = near.select("uid", "entity", "term").distinct()
-    both = cut(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT), "pii-pairs")
-    n_e = near.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_t = frequencies(docs, cut(both.select("term").distinct(), "pii-terms"))
-    share = F.log(F.col("n_te") * F.lit(float(n_docs)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    return both.join(n_e, "entity").join(n_t, "term").filter((F.col("n_e") < n_docs) & (share >= DISCLOSURE)).select("entity", "term")
+def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """uid, start, end of each occurrence of a document's told terms."""
+    uids = cut(told.select("uid").distinct(), "pii-told-uids")
+    own = texts.join(bounded(uids, uids.count(), 16), "uid", "left_semi")
+    words = cut(own.select("uid", matches(pieces(F.col("text"), rf"(?<!\p{{L}})\p{{L}}{{{LETTERS},}}+", F.lit(True))).alias("word")), "pii-words")
+    found = located(words, "word", len(KINDS)).withColumn("term", F.lower("value"))
+    return found.join(bounded(told, told.count(), 64), ["uid", "term"], "left_semi").select("uid", "start", "end")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """uid, doc_id, base and more: the spans (place, kind, start, end) of each document, in order."""
     scan = scanned(docs)
     base = cut(entities(scan), "pii-base")
-    near = cut(terms_near(base), "pii-near")
-    told = disclosing(docs, near, scan.count())
-    extra = near.join(told, ["entity", "term"], "left_semi").select("uid", F.lit(len(KINDS)).alias("place"), F.lit("term").alias("kind"), "start", "end").distinct()
+    texts = scan.filter("text is not null").select("uid", "text")
+    told = disclosing(docs, texts, base, scan.count())
+    extra = occurrences(texts, told).select("uid", F.lit(len(KINDS)).alias("place"), F.lit("term").alias("kind"), "start", "end")
     spans = base.select("uid", "place", "kind", "start", "end").unionByName(extra)
     span = F.struct(F.col("place").cast("int").alias("place"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind")
     by_doc = spans.groupBy("uid").agg(F.sort_array(F.collect_list(span)).alias("spans"))

@@ -1,10 +1,12 @@
 """Whole jobs of the pipeline's stages and of op6_pii against brute force."""
 
+import math
 import random
+import re
 from collections import defaultdict
 
 import corpus_pipeline
-from quarry.llm import minhash
+from quarry.llm import minhash, pii
 from tests.conftest import DATA
 from tests.llm.conftest import words
 from tests.llm.test_minhash import shingle_set
@@ -47,3 +49,41 @@ def test_bands_of_each_threshold():
     assert minhash.layout(85) == (21, 6)
     bands, rows = minhash.layout(80)
     assert bands * rows <= minhash.MINIMA and (1 - 0.8**rows) ** bands <= 1e-4
+
+
+def disclosing_brute(texts: list[str], entity: str) -> set[tuple[int, int, int]]:
+    """document, start, end of each occurrence of a term that discloses an entity of the pattern, by the formula."""
+    found = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", t) if m.end() - m.start() >= pii.LETTERS] for t in texts]
+    holders = defaultdict(set)
+    for i, t in enumerate(texts):
+        for m in re.finditer(entity, t):
+            holders[m[0].lower()].add(i)
+    docs_of = defaultdict(set)
+    for i, ws in enumerate(found):
+        for *_, w in ws:
+            docs_of[w].add(i)
+    out, n = set(), len(texts)
+    for docs in holders.values():
+        for w, those in docs_of.items():
+            n_te = len(docs & those)
+            if n_te >= pii.SUPPORT and len(docs) < n and math.log(n_te * n / (len(those) * len(docs))) / math.log(n / len(docs)) >= pii.DISCLOSURE:
+                out |= {(i, a, b) for i in docs for a, b, v in found[i] if v == w and not any(a < m.end() and m.start() < b for m in re.finditer(entity, texts[i]))}
+    return out
+
+
+def term_spans(spark, texts: list[str]) -> set[tuple[int, int, int]]:
+    got = pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    return {(r["doc_id"], *map(int, s.split(":")[1:])) for r in got for s in r["spans"].split(",") if s.startswith("term:")}
+
+
+def test_terms_far_from_their_entity(spark):
+    """A name at the head and the foot of long letters, the address between them."""
+    rng = random.Random(3)
+    filler = ["ordinary", "letters", "about", "weather", "garden"]
+    texts = [" ".join(rng.choice(filler) for _ in range(40)) for _ in range(80)]
+    for i in range(4):
+        texts[i] = f"Office of QUILLFEATHER {texts[i]} mail q0@site.org or {i % 2}@site.org, {texts[i]} signed Quillfeather"
+    texts[9] += " q0@site.org"  # a document with the address alone
+    want = disclosing_brute(texts, r"[a-z0-9]+@site\.org")
+    assert {(i, texts[i].index("QUILLFEATHER")) for i in range(4)} <= {(i, a) for i, a, _ in want}
+    assert term_spans(spark, texts) == want
