@@ -11,8 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MARK, OTHER = "\x01", "\x02"
-#: Code points of text kept on each side of a match.
-AROUND = 64
 
 
 def pieces(text: Column, pattern: str, when: Column) -> Column:
@@ -21,20 +19,10 @@ def pieces(text: Column, pattern: str, when: Column) -> Column:
     return F.when(when, F.split(marked, MARK)).otherwise(F.array(text))
 
 
-def matches(parts: Column, around: int = 0) -> Column:
-    """struct(lengths of all pieces, found: the matches with `around` code points on either side)."""
+def matches(parts: Column) -> Column:
+    """struct(lengths of all pieces, found: the matches)."""
     n = F.floor(F.size(parts) / 2).cast("int")
-
-    def one(i: Column) -> Column:
-        before, value, after = (F.element_at(parts, i * 2 + k) for k in (-1, 0, 1))
-        if not around:
-            return F.struct(value.alias("value"))
-        # a word that the edge cuts is left out
-        left = F.when(F.length(before) > around, F.regexp_replace(F.right(before, F.lit(around)), r"^\p{L}+", "")).otherwise(before)
-        right = F.when(F.length(after) > around, F.regexp_replace(F.left(after, F.lit(around)), r"\p{L}+$", "")).otherwise(after)
-        return F.struct(value.alias("value"), left.alias("left"), right.alias("right"))
-
-    found = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one))
+    found = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(parts, i * 2).alias("value"))))
     return F.when(n > 0, F.struct(F.transform(parts, F.length).alias("lengths"), found.alias("found")))
 
 

@@ -87,3 +87,15 @@ def test_terms_far_from_their_entity(spark):
     want = disclosing_brute(texts, r"[a-z0-9]+@site\.org")
     assert {(i, texts[i].index("QUILLFEATHER")) for i in range(4)} <= {(i, a) for i, a, _ in want}
     assert term_spans(spark, texts) == want
+
+
+def test_numbers_and_neighbours_end_no_context(spark):
+    """A year and a price stand between a name and a card, and addresses of a list between a name and an address."""
+    texts = [f"ordinary letters about weather {i}" for i in range(60)]
+    for i in range(3):
+        texts[i] = "Quillfeather paid 120 in 2024 by 4111 1111 1111 1111, 35 left ordinary letters"
+    for i in range(3, 6):
+        texts[i] = "Marblewick a0@x.org, b0@x.org, c0@x.org ordinary letters"
+    want = disclosing_brute(texts, r"4111 1111 1111 1111|[a-z0-9]+@x\.org")
+    assert {(i, 0) for i in range(6)} <= {(i, a) for i, a, _ in want}
+    assert term_spans(spark, texts) == want
