@@ -127,7 +127,9 @@ def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
     """uid, start, end of each occurrence of a document's told terms."""
     uids = cut(told.select("uid").distinct(), "pii-told-uids")
     own = texts.join(bounded(uids, uids.count(), 16), "uid", "left_semi")
-    words = cut(own.select("uid", matches(pieces(F.col("text"), rf"(?<!\p{{L}})\p{{L}}{{{LETTERS},}}+", F.lit(True))).alias("word")), "pii-words")
+    # written first: inside matches() the pieces would be made anew for each word
+    parts = cut(own.select("uid", pieces(F.col("text"), rf"(?<!\p{{L}})\p{{L}}{{{LETTERS},}}+", F.lit(True)).alias("parts")), "pii-parts")
+    words = parts.select("uid", matches(F.col("parts")).alias("word"))
     found = located(words, "word", len(KINDS)).withColumn("term", F.lower("value"))
     return found.join(bounded(told, told.count(), 64), ["uid", "term"], "left_semi").select("uid", "start", "end")
 
