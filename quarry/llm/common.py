@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.session import ship
 
@@ -63,6 +66,47 @@ def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
+def sized(df: DataFrame) -> tuple[int, int]:
+    """Rows of a table that cut() wrote, and bytes of their values, counted and not estimated."""
+    width = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c)) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c).cast("string")), F.lit(0)) for c, f in ((f"`{f.name}`", f) for f in df.schema)), F.lit(0))
+    rows, size = df.agg(F.count("*"), F.sum(width)).first()
+    return rows, size or 0
+
+
+def fits(side: tuple[int, int]) -> bool:
+    """Whether a counted side may be broadcast: values and 64 bytes of a row's own."""
+    rows, size = side
+    return rows * 64 + size <= BROADCAST_BYTES
+
+
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """left joined with a table that cut() wrote: broadcast if its counted bytes fit, shuffled beyond."""
+    return left.join(F.broadcast(right) if fits(sized(right)) else right.hint("shuffle_merge"), on, how)
+
+
+#: Rows that one task orders, where a whole table needs an order.
+ORDERED_ROWS = 20_000
+
+
+def running(df: DataFrame, rows: int, order: list[Column], sums: list[str]) -> DataFrame:
+    """df, of `rows` rows, with rn (from 1) and, for each column c of sums, before_c: its sum over the rows before.
+
+    Ranges of the order are dealt to tasks of about ORDERED_ROWS rows; only a row for each range meets in one task.
+    """
+    parts = max(1, math.ceil(rows / ORDERED_ROWS))
+    ranged = df.withColumn("range", F.lit(0)) if parts == 1 else cut(df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    one = [F.lit(1).cast("long").alias("n"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(sums)]]
+    totals = ranged.select("range", *one).groupBy("range").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(sums))])
+    earlier = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    bases = totals.select("range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"base_{c}") for c in ("n", *[f"s{i}" for i in range(len(sums))])])
+    within = W.partitionBy("range").orderBy(*order)
+    numbered = ranged.withColumn("rn", F.row_number().over(within).cast("long"))
+    for c in sums:
+        numbered = numbered.withColumn(f"before_{c}", F.coalesce(F.sum(c).over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = numbered.join(F.broadcast(bases), "range")  # a row for each of the ranges
+    return placed.select(*df.columns, (F.col("rn") + F.col("base_n")).alias("rn"), *[(F.col(f"before_{c}") + F.col(f"base_s{i}")).alias(f"before_{c}") for i, c in enumerate(sums)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 

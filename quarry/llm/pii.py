@@ -27,8 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, cut
-from quarry.llm.spans import apart, as_text, located, matches, pieces
+from quarry.llm.common import bounded, cut, fits, joined, sized
+from quarry.llm.spans import apart, as_text, by_cell, located, matches, pieces, rewritten, values
 
 DISCLOSURE, SUPPORT, LETTERS = 0.9, 2, 4
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -69,15 +69,19 @@ def scanned(docs: DataFrame) -> DataFrame:
     later steps don't read all texts again."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"), *[matches(pieces(text, PATTERNS[k], may_hold(k, text))).alias(k) for k in KINDS])
-    of_kind = lambda k: F.coalesce(F.exists(f"{k}.found", lambda m: valid(F.lit(k), m["value"])), F.lit(False))
+    of_kind = lambda k: F.exists(values(F.col(k)), lambda m: valid(F.lit(k), m["value"]))
     holds = reduce(Column.__or__, map(of_kind, KINDS))
     return cut(found.withColumn("text", F.when(holds, F.col("text"))).withColumn("uid", F.monotonically_increasing_id()), "pii-scan")
 
 
 def entities(scan: DataFrame) -> DataFrame:
     """uid, place, kind, start, end, value of each base span."""
-    rows = reduce(DataFrame.unionByName, [located(scan, k, i) for i, k in enumerate(KINDS)])
-    return rows.filter(valid(F.col("kind"), F.col("value")))
+    return located(scan, KINDS).filter(valid(F.col("kind"), F.col("value")))
+
+
+def of_documents(uid: str = "uid") -> list[Column]:
+    """Two sums that tell sets of documents apart."""
+    return [F.sum(F.xxhash64(F.lit(seed), uid).cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
 
 
 def held(base: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -85,8 +89,7 @@ def held(base: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
     n_e, most (the documents that a term may occur in at most)."""
     entity = F.concat_ws(":", "kind", F.when(F.col("kind").isin("card", "phone"), digits(F.col("value"))).otherwise(F.lower("value")))
     pairs = cut(base.select("uid", entity.alias("entity")).distinct(), "pii-held")
-    sums = [F.sum(F.xxhash64(F.lit(seed), "uid").cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
-    sizes = pairs.groupBy("entity").agg(F.count("*").alias("n_e"), *sums).filter((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n_docs))
+    sizes = pairs.groupBy("entity").agg(F.count("*").alias("n_e"), *of_documents()).filter((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n_docs))
     most = F.floor(F.col("n_e") * F.pow(F.lit(float(n_docs)) / F.col("n_e"), F.lit(1 - DISCLOSURE)) * (1 + 1e-9))
     first = cut(sizes.groupBy("n_e", "sum1", "sum2").agg(F.min("entity").alias("entity")).select("entity", "n_e", most.alias("most")), "pii-entities")
     return pairs.join(first.select("entity"), "entity", "left_semi"), first
@@ -101,37 +104,43 @@ def terms(text: Column) -> Column:
 def frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """term, n_t: in how many of all documents each of the given terms occurs."""
     found = texts.select(F.explode(terms(F.col("text"))).alias("term"))
-    n = wanted.count()
-    if n * 64 <= 8 << 20:
+    side = sized(wanted)
+    if fits(side):
         return found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     return found.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
 
 
 def disclosing(docs: DataFrame, texts: DataFrame, base: DataFrame, n_docs: int) -> DataFrame:
-    """uid, term: the terms of each document that disclose an entity it holds."""
+    """uid, term: the terms of each document that disclose an entity it holds.
+
+    Terms of the same documents are counted as one, as entities are: copies of a document, however many and
+    however long, add a row for each of them and class of terms, not for each term.
+    """
     pairs, sizes = held(base, n_docs)
     of_doc = cut(pairs.join(sizes, "entity"), "pii-of-doc")
     uids = cut(of_doc.select("uid").distinct(), "pii-uids")
     there = cut(texts.join(bounded(uids, uids.count(), 16), "uid", "left_semi").select("uid", F.explode(terms(F.col("text"))).alias("term")), "pii-there")
-    often = cut(there.groupBy("term").agg(F.count("*").alias("m_t")).filter(F.col("m_t") >= SUPPORT).select("term"), "pii-terms")
+    often = cut(there.groupBy("term").agg(F.count("*").alias("m_t"), *of_documents()).filter(F.col("m_t") >= SUPPORT), "pii-terms")
     widest = sizes.agg(F.max("most")).first()[0] or 0
-    n_t = cut(frequencies(docs, often).filter(F.col("n_t") <= widest), "pii-frequencies")
-    both = cut(there.join(bounded(n_t, n_t.count(), 64), "term").join(of_doc, "uid").filter(F.col("n_t") <= F.col("most")), "pii-both")
-    counts = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.any_value("n_t").alias("n_t"), F.any_value("n_e").alias("n_e"))
+    alike = ["n_t", "m_t", "sum1", "sum2"]
+    known = cut(often.join(frequencies(docs, often.select("term")).filter(F.col("n_t") <= widest), "term"), "pii-frequencies")
+    classes = cut(known.groupBy(*alike).agg(F.min("term").alias("class")), "pii-classes")
+    first = classes.select(F.col("class").alias("term"), "n_t")
+    both = cut(joined(there, first, "term").join(of_doc, "uid").filter(F.col("n_t") <= F.col("most")).select("uid", "entity", "n_e", "n_t", F.col("term").alias("class")), "pii-both")
+    counts = both.groupBy("entity", "class").agg(F.count("*").alias("n_te"), F.any_value("n_t").alias("n_t"), F.any_value("n_e").alias("n_e"))
     share = F.log(F.col("n_te") * F.lit(float(n_docs)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n_docs)) / F.col("n_e"))
-    told = counts.filter((F.col("n_te") >= SUPPORT) & (share >= DISCLOSURE)).select("entity", "term")
-    return cut(both.join(told, ["entity", "term"], "left_semi").select("uid", "term").distinct(), "pii-told")
+    told = counts.filter((F.col("n_te") >= SUPPORT) & (share >= DISCLOSURE)).select("entity", "class")
+    of_class = both.join(told, ["entity", "class"], "left_semi").select("uid", "class").distinct()
+    return cut(of_class.join(known.join(classes, alike).select("class", "term"), "class").select("uid", "term"), "pii-told")
 
 
 def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
     """uid, start, end of each occurrence of a document's told terms."""
     uids = cut(told.select("uid").distinct(), "pii-told-uids")
     own = texts.join(bounded(uids, uids.count(), 16), "uid", "left_semi")
-    # written first: inside matches() the pieces would be made anew for each word
-    parts = cut(own.select("uid", pieces(F.col("text"), rf"(?<!\p{{L}})\p{{L}}{{{LETTERS},}}+", F.lit(True)).alias("parts")), "pii-parts")
-    words = parts.select("uid", matches(F.col("parts")).alias("word"))
-    found = located(words, "word", len(KINDS)).withColumn("term", F.lower("value"))
-    return found.join(bounded(told, told.count(), 64), ["uid", "term"], "left_semi").select("uid", "start", "end")
+    words = own.select("uid", matches(pieces(F.col("text"), rf"(?<!\p{{L}})\p{{L}}{{{LETTERS},}}+", F.lit(True))).alias("word"))
+    found = located(words, ["word"]).withColumn("term", F.lower("value"))
+    return joined(found, told, ["uid", "term"], "left_semi").select("uid", "start", "end")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -141,12 +150,10 @@ def find(docs: DataFrame) -> DataFrame:
     texts = scan.filter("text is not null").select("uid", "text")
     told = disclosing(docs, texts, base, scan.count())
     extra = occurrences(texts, told).select("uid", F.lit(len(KINDS)).alias("place"), F.lit("term").alias("kind"), "start", "end")
-    spans = base.select("uid", "place", "kind", "start", "end").unionByName(extra)
+    spans = apart(base.select("uid", "place", "kind", "start", "end").unionByName(extra), len(KINDS))
     span = F.struct(F.col("place").cast("int").alias("place"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind")
     by_doc = spans.groupBy("uid").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    own = F.filter("spans", lambda s: s["place"] < len(KINDS))
-    rest = F.filter("spans", lambda s: s["place"] == len(KINDS))
-    parts = by_doc.select("uid", own.alias("base"), apart(rest, own).alias("more"))
+    parts = by_doc.select("uid", F.filter("spans", lambda s: s["place"] < len(KINDS)).alias("base"), F.filter("spans", lambda s: s["place"] == len(KINDS)).alias("more"))
     none = F.array().cast("array<struct<place:int,start:bigint,end:bigint,kind:string>>")
     return scan.select("uid", "doc_id", "text_hash").join(parts, "uid", "left").select("uid", "doc_id", "text_hash", F.coalesce("base", none).alias("base"), F.coalesce("more", none).alias("more"))
 
@@ -157,36 +164,24 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.concat("base", "more")).alias("spans"))
 
 
-def rewritten(text: Column, spans: Column) -> Column:
-    """text with each span, in order of start, replaced by its kind in brackets. What reaches beyond an earlier
-    span that it overlaps is replaced too, so nothing of a span is left."""
-    ends = F.transform(spans, lambda s: s["end"])
-    covered = lambda i: F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0).cast("long"))
-    cut_out = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
-
-    def piece(s: Column, i: Column) -> Column:
-        name = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.concat(cut_out(covered(i), s["start"]), F.when(s["end"] > covered(i), name).otherwise(""))
-
-    return F.concat(F.array_join(F.transform(spans, piece), ""), cut_out(covered(F.size(spans)), F.length(text)))
-
-
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with entities and disclosing terms generalised, and n_chars, if there, counted anew.
 
-    Spans come back to their document by doc_id and a hash of the text; equal rows have equal spans.
+    Spans come back to their document by doc_id and a hash of the text; equal rows have equal spans. Columns of
+    docs are renamed by place meanwhile, so their names can't clash with the plan's.
     """
-    both = F.concat("base", "more")
-    by_start = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("longest"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    plan = find(docs).filter(F.size("base") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.any_value(by_start).alias("__spans"))
-    plan = cut(plan, "pii-plan")
-    rows, n_spans = plan.agg(F.count("*"), F.sum(F.size("__spans"))).first()
-    joined = docs.join(bounded(plan, rows * 32 + (n_spans or 0) * 48, 1), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("__spans")))
     names = docs.columns
-    rewritten_rows = joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
-    if "n_chars" not in names:
-        return rewritten_rows
-    # of the text as it is now: counted from the column, in a step of its own
-    counted = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return rewritten_rows.select(*[counted.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    plain = docs.toDF(*at.values())
+    found = find(plain.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))).filter(F.size("base") > 0)
+    first = found.groupBy("doc_id", "text_hash").agg(F.any_value(F.concat("base", "more")).alias("spans"))
+    spans = first.select("doc_id", "text_hash", F.explode("spans").alias("s")).select("doc_id", "text_hash", "s.start", "s.end", F.concat(F.lit("<"), F.upper("s.kind"), F.lit(">")).alias("label"))
+    plan = cut(by_cell(spans, "doc_id", "text_hash"), "pii-plan")
+    side = F.broadcast(plan) if fits(sized(plan)) else plan.hint("shuffle_merge")
+    both = plain.join(side, F.col(at["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.xxhash64(at["text"]) == F.col("text_hash")), "left")
+    text = F.when(F.col("cells").isNull(), F.col(at["text"])).otherwise(rewritten(F.col(at["text"]), F.col("cells")))
+    changed = both.select(*[text.alias(c) if n == "text" else c for n, c in at.items()])
+    if "n_chars" in at:  # of the text as it is now: counted from the column, in a step of its own
+        counted = F.length(at["text"]).cast(docs.schema["n_chars"].dataType)
+        changed = changed.select(*[counted.alias(c) if n == "n_chars" else c for n, c in at.items()])
+    return changed.toDF(*names)

@@ -11,8 +11,6 @@ of their own; an empty table gives an empty result; only doc_id, text and source
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,17 +58,16 @@ def looked_up(rows: DataFrame, owned: DataFrame, how: str) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """uid, doc_id, base and more (place, start, end, kind), n_live and n_copied of each document."""
     scan = scanned(docs)
-    rows = reduce(DataFrame.unionByName, [located(scan, k, i, "owner") for i, k in enumerate(KINDS)])
+    rows = located(scan, KINDS, "owner")
     base = cut(rows.filter(valid(F.col("kind"), F.col("value"))).withColumn("hash", F.sha2(secret(F.col("kind"), F.col("value")), 256)).drop("value"), "secret-base")
     owned = cut(ownership(base), "secret-owners")
-    tokens = located(scan, "reuse", len(KINDS), "owner").withColumn("hash", F.sha2("value", 256)).drop("value")
+    tokens = located(scan, ["reuse"], "owner").withColumn("place", F.lit(len(KINDS))).withColumn("hash", F.sha2("value", 256)).drop("value")
     more = looked_up(tokens, owned.filter("live").select("hash", "live"), "inner")
     known = looked_up(base, owned.select("hash", "live"), "left")
     span = F.struct(F.col("start").cast("long").alias("start"), F.col("place").cast("int").alias("place"), F.col("end").cast("long").alias("end"), "kind", "live")
     columns = ["uid", "place", "kind", "start", "end", "live"]
-    by_doc = known.select(columns).unionByName(more.select(columns)).groupBy("uid").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    own = F.filter("spans", lambda s: s["place"] < len(KINDS))
-    parts = by_doc.select("uid", own.alias("base"), apart(F.filter("spans", lambda s: s["place"] == len(KINDS)), own).alias("more"))
+    by_doc = apart(known.select(columns).unionByName(more.select(columns)), len(KINDS)).groupBy("uid").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    parts = by_doc.select("uid", F.filter("spans", lambda s: s["place"] < len(KINDS)).alias("base"), F.filter("spans", lambda s: s["place"] == len(KINDS)).alias("more"))
     none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string,live:boolean>>")
     return scan.select("uid", "doc_id").join(parts, "uid", "left").select("uid", "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("more", none).alias("more"))
 

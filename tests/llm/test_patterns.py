@@ -1,11 +1,14 @@
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import pii, secrets, spans
+from quarry.llm import pii, secrets
+from quarry.llm import spans as spans_module
 
 
 def luhn(digits):
@@ -77,5 +80,53 @@ def test_ownership(spark):
 
 
 def test_pieces_join_to_the_text(spark):
-    parts = spans.pieces(F.lit("a1b22"), "[0-9]+", F.lit(True))
+    parts = spans_module.pieces(F.lit("a1b22"), "[0-9]+", F.lit(True))
     assert spark.range(1).select(parts.alias("p")).first()["p"] == ["a", "1", "b", "22", ""]
+
+
+def test_many_matches_in_one_text(spark):
+    """Pages of 20,000 addresses and numbers, copied, and of 20,000 assignments: as fast as the text is long."""
+    many = " ".join(f"u{i}@site{i % 7}.org é +1 555 {100000 + i}" for i in range(20_000))
+    rows = [(0, many), (1, many), (2, "nothing here"), (3, None), *[(i, "ordinary words") for i in range(4, 40)]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    found = {r["doc_id"]: r for r in pii.digest(pii.find(frame)).collect()}
+    for i in (0, 1):
+        assert found[i]["base_sha256"] == hashlib.sha256(expected(PII, many, False).encode()).hexdigest()
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(frame).collect()}
+    assert out[0] == out[1] and "@" not in out[0] and out[0].count("<EMAIL>") == out[0].count("<PHONE>") == 20_000
+    secret = " ".join(f"token=abc{i:06d}" for i in range(20_000))
+    got = secrets.digest(secrets.find(spark.createDataFrame([(0, secret, "s")], "doc_id long, text string, source string"))).first()
+    assert got["base_sha256"] == hashlib.sha256(expected(SECRET, secret, True).encode()).hexdigest()
+    # 4,000 matches took minutes when pieces were split anew for each match
+    assert time.time() - began < 100
+
+
+@pytest.mark.parametrize("size", [3, 7, 1024])
+def test_rewriting_by_cells(spark, size):
+    """Spans that touch, nest, overlap and cross cells, against Python."""
+    rng, rows = random.Random(size), []
+    for i in range(60):
+        text = "".join(rng.choice("abc 😀é") for _ in range(rng.randint(1, 60)))
+        spans = [(a, rng.randint(a + 1, len(text)), f"<{k}>") for k in "XY" for a in rng.sample(range(len(text)), min(len(text), rng.randint(0, 4)))]
+        rows.append((i, text, spans))
+    spans = spark.createDataFrame([(i, a, b, k) for i, _, s in rows for a, b, k in s], "uid long, start long, end long, label string")
+    plan = spans_module.by_cell(spans, "uid", size=size)
+    texts = spark.createDataFrame([(i, t) for i, t, _ in rows], "uid long, text string")
+    got = {r["uid"]: r["out"] for r in texts.join(plan, "uid").select("uid", spans_module.rewritten(F.col("text"), F.col("cells"), size).alias("out")).collect()}
+    for i, text, s in rows:
+        if not s:
+            continue
+        out, done = "", 0
+        for a, b, label in sorted(s, key=lambda x: (x[0], -x[1], x[2])):
+            if b > done:
+                out += text[done : max(a, done)] + label
+                done = b
+        assert got[i] == out + text[done:], (text, s)
+
+
+def test_overlaps(spark):
+    """Extra spans that touch a base one stay, those that share a code point go."""
+    rows = [(1, 0, 5, 9), (1, 2, 0, 5), (1, 2, 4, 6), (1, 2, 9, 12), (1, 2, 8, 9), (1, 2, 3, 20), (1, 1, 30, 40), (1, 2, 30, 31), (1, 2, 25, 31), (2, 2, 5, 9)]
+    got = spans_module.apart(spark.createDataFrame(rows, "uid long, place int, start long, end long"), 2).collect()
+    assert {tuple(r) for r in got} == {(1, 0, 5, 9), (1, 1, 30, 40), (1, 2, 0, 5), (1, 2, 9, 12), (2, 2, 5, 9)}
