@@ -130,3 +130,20 @@ def test_overlaps(spark):
     rows = [(1, 0, 5, 9), (1, 2, 0, 5), (1, 2, 4, 6), (1, 2, 9, 12), (1, 2, 8, 9), (1, 2, 3, 20), (1, 1, 30, 40), (1, 2, 30, 31), (1, 2, 25, 31), (2, 2, 5, 9)]
     got = spans_module.apart(spark.createDataFrame(rows, "uid long, place int, start long, end long"), 2).collect()
     assert {tuple(r) for r in got} == {(1, 0, 5, 9), (1, 1, 30, 40), (1, 2, 0, 5), (1, 2, 9, 12), (2, 2, 5, 9)}
+
+
+def test_bare_copies_of_any_form(spark):
+    """Short values, values without a digit, with dots, padding, or a first digit far in; words that others use aren't secrets."""
+    values = ["hunter2", "correcthorse", "eyJh.bGci.x-y_z", "cGFkZGVk==", "z" * 300 + "7", "shared/word"]
+    rows = [(i, f"password: {v}", "s1") for i, v in enumerate(values)] + [(10 + i, f"(see {v}).", "s2") for i, v in enumerate(values)] + [(20 + i, "about shared/word", f"s{i}") for i in range(4)]
+    rows += [(30 + i, f"secret=within1owner {i}", "s9") for i in range(secrets.WIDE)] + [(60, "bare within1owner", "s9"), (61, "api_key='dotted1.'", "s1"), (62, "a dotted1. ", None), (None, "hunter2", "s2"), (None, "hunter2", "s2")]
+    got = {}
+    for r in secrets.digest(secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, v in enumerate(values[:-1]):
+        assert got[10 + i][0]["spans"] == f"reuse:5:{5 + len(v)}", v
+        assert got[i][0]["n_live"] == 1
+    assert got[15][0]["spans"] == got[20][0]["spans"] == "" and got[5][0]["n_copied"] == 1
+    assert got[60][0]["spans"] == "" and got[30][0]["n_copied"] == 1
+    assert got[62][0]["spans"] == "reuse:2:9"
+    assert [r["spans"] for r in got[None]] == ["reuse:0:7"] * 2
