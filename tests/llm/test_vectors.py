@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -34,9 +37,10 @@ def usable(v, zero=False):
     return v is not None and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v))
 
 
-@pytest.mark.parametrize("tile", [embdup.TILE, 16])
-def test_links_and_components(vectors, tile, monkeypatch):
+@pytest.mark.parametrize(("tile", "bucket"), [(embdup.TILE, embdup.BUCKET), (16, 64), (embdup.TILE, 8)])
+def test_links_and_components(vectors, tile, bucket, monkeypatch):
     monkeypatch.setattr(embdup, "TILE", tile)
+    monkeypatch.setattr(embdup, "BUCKET", bucket)
     frame, rows = vectors
     fine = list({(i, tuple(v), l) for i, v, l in rows if i is not None and l is not None and usable(v)})
     links, count = set(), {}
@@ -56,19 +60,97 @@ def test_links_and_components(vectors, tile, monkeypatch):
         assert r["kept"] == (r["vec_id"] is None or r["vec_id"] == root[r["vec_id"]])
 
 
-def test_exact_top_k(vectors, monkeypatch):
-    monkeypatch.setattr(topk, "CHUNK", 64)
-    monkeypatch.setattr(topk, "PAGE", 8)
-    frame, rows = vectors
-    scaled = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v, _ in rows if i is not None and usable(v, zero=True)]
+def test_recall_at_the_threshold_with_many_bits(spark, monkeypatch):
+    """Pairs planted at 0.93 itself among 20,000 vectors, with ten bits and more than one table needed."""
+    monkeypatch.setattr(embdup, "BUCKET", 16)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(17_000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = rng.choice(17_000, 1500, replace=False)
+    side = rng.normal(size=(1500, 24))
+    side -= (side * x[pairs]).sum(axis=1, keepdims=True) * x[pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.9301 * x[pairs] + math.sqrt(1 - 0.9301**2) * side
+    rows = np.concatenate([x, near])
+    bits, tables = embdup.tables_for(len(rows))
+    assert bits >= 10 and tables > 10
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embdup.near_duplicates(frame).collect()}
+    linked = [got[17_000 + i]["component_id"] == got[int(p)]["component_id"] for i, p in enumerate(pairs)]
+    assert np.mean(linked) >= 0.995
+    exact = rows @ rows.T >= 0.93
+    count = exact.sum(axis=1) - 1
+    assert all(got[i]["n_links"] <= count[i] for i in range(len(rows)))
+    assert sum(r["n_links"] for r in got.values()) >= 0.995 * count.sum()
+
+
+def whole(v: list[float]) -> list[int]:
+    """floor(64 * x) in whole numbers, as far as doubles don't overflow."""
+    return [math.floor(Fraction(float(x)) * 64) for x in v]
+
+
+def best_others(rows: list[tuple[int, list[float]]], k: int = 20, step: int = 20) -> dict[int, list[tuple[int, int, int]]]:
+    """rank, vec_id and score (as the nearest long) of each query's best, by brute force in whole numbers."""
+    scaled = [(i, whole(v)) for i, v in rows if i is not None and usable(v, zero=True)]
+    out = {}
+    for i, x in scaled:
+        if i % step == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in scaled if j != i and len(x) == len(y))[:k]
+            out[i] = [(n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(best)]
+    return out
+
+
+def found(frame) -> dict[int, list[tuple[int, int, int]]]:
     got = {}
     for r in topk.top_k(frame).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    queries = [(i, x) for i, x in scaled if i % 20 == 0]
-    assert queries
-    for i, x in queries:
-        best = sorted((-int(x @ y), j) for j, y in scaled if j != i and len(x) == len(y))[:20]
-        assert sorted(got.get(i, [])) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    return {i: sorted(v) for i, v in got.items()}
+
+
+@pytest.mark.parametrize("queries", [topk.QUERIES, 3])
+def test_exact_top_k(vectors, monkeypatch, queries):
+    monkeypatch.setattr(topk, "CHUNK", 64)
+    monkeypatch.setattr(topk, "PAGE", 8)
+    monkeypatch.setattr(topk, "QUERIES", queries)
+    frame, rows = vectors
+    want = best_others([(i, v) for i, v, _ in rows])
+    assert want and found(frame) == {i: v for i, v in want.items() if v}
+
+
+@pytest.mark.parametrize("size", [1e3, 1e7, 1e8, 1e16, 1e300])
+def test_top_k_of_large_parts(spark, monkeypatch, size):
+    """Scores that doubles can't tell apart, and those beyond 64 bits; small vectors among them."""
+    monkeypatch.setattr(topk, "CHUNK", 64)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * (size if i % 3 else 1)).tolist()) for i in range(150)]
+    rows += [(200 + i, [size + i % 2, 1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(frame) == best_others(rows)
+
+
+def test_top_k_of_many_equal_vectors(spark, monkeypatch):
+    """A cell that no distance divides, ties among all of it, and more lengths than have trees."""
+    monkeypatch.setattr(topk, "CHUNK", 64)
+    monkeypatch.setattr(topk, "LENGTHS", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(1000 + i, rng.normal(size=3 + i % 4).tolist()) for i in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(frame) == best_others(rows)
+
+
+def test_the_directory_rules_chunks_out(spark, monkeypatch):
+    """Vectors in far groups: a query isn't sent to chunks whose bound its k-th score beats."""
+    monkeypatch.setattr(topk, "CHUNK", 100)
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(8, 5)) * 20
+    middle *= 20 / np.linalg.norm(middle, axis=1, keepdims=True)
+    rows = [(i, (middle[i % 8] + rng.normal(size=5) * 0.05).tolist()) for i in range(800)]
+    sent = []
+    search = topk.search
+    monkeypatch.setattr(topk, "search", lambda rows, *a: sent.append(rows.count()) or search(rows, *a))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(frame) == best_others(rows)
+    assert sent[0] == 40 and sent[1] < 40 * 3
 
 
 def test_empty_tables(spark):
