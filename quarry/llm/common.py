@@ -94,17 +94,21 @@ def running(df: DataFrame, rows: int, order: list[Column], sums: list[str]) -> D
     Ranges of the order are dealt to tasks of about ORDERED_ROWS rows; only a row for each range meets in one task.
     """
     parts = max(1, math.ceil(rows / ORDERED_ROWS))
-    ranged = df.withColumn("range", F.lit(0)) if parts == 1 else cut(df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranges")
-    one = [F.lit(1).cast("long").alias("n"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(sums)]]
-    totals = ranged.select("range", *one).groupBy("range").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(sums))])
+    if parts == 1:
+        every = W.partitionBy().orderBy(*order)
+        before = {f"before_{c}": F.coalesce(F.sum(c).over(every.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) for c in sums}
+        return df.select("*", F.row_number().over(every).cast("long").alias("rn"), *[v.alias(c) for c, v in before.items()])
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    values = ["n", *[f"s{i}" for i in range(len(sums))]]
+    totals = ranged.select("range", F.lit(1).cast("long").alias("n"), *[F.col(c).alias(v) for c, v in zip(sums, values[1:], strict=True)]).groupBy("range").agg(*[F.sum(v).alias(v) for v in values])
     earlier = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select("range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"base_{c}") for c in ("n", *[f"s{i}" for i in range(len(sums))])])
+    bases = totals.select("range", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"base_{v}") for v in values])
     within = W.partitionBy("range").orderBy(*order)
     numbered = ranged.withColumn("rn", F.row_number().over(within).cast("long"))
     for c in sums:
         numbered = numbered.withColumn(f"before_{c}", F.coalesce(F.sum(c).over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     placed = numbered.join(F.broadcast(bases), "range")  # a row for each of the ranges
-    return placed.select(*df.columns, (F.col("rn") + F.col("base_n")).alias("rn"), *[(F.col(f"before_{c}") + F.col(f"base_s{i}")).alias(f"before_{c}") for i, c in enumerate(sums)])
+    return placed.select(*df.columns, (F.col("rn") + F.col("base_n")).alias("rn"), *[(F.col(f"before_{c}") + F.col(f"base_{v}")).alias(f"before_{c}") for c, v in zip(sums, values[1:], strict=True)])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

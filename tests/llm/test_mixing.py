@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from quarry.llm import mixing
+from quarry.llm import common, mixing
 
 
 def size(text):
@@ -70,3 +70,37 @@ def test_whole_documents(odd):
 def test_empty_table(empty):
     assert mixing.taken(empty).count() == 0
     assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_repeated_rows_in_numbers(spark, monkeypatch):
+    """A third of all rows is one row: every one of them is told apart, and the takes stay near the targets."""
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 32)
+    monkeypatch.setattr(mixing, "STRETCH", 4)
+    monkeypatch.setattr(common, "ORDERED_ROWS", 3)
+    rows = [(1, "a b c", "s0")] * 400 + [(10 + i, "w " * (i % 9), f"s{i % 7}") for i in range(800)] + [(None, None, None)] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, took = defaultdict(int), Counter()
+    for _, text, source in rows:
+        sizes[source] += size(text)
+    want = targets(sizes)
+    got = mixing.taken(frame).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, size(t)) for i, t, _ in rows)
+    for r in got:
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"]
+        took[r["source"]] += r["taken"]
+    assert all(abs(took[s] - want[s]) <= 1 for s in want)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.taken(frame.repartition(3)).collect()))
+
+
+def test_whole_documents_come_near_their_targets(spark):
+    """The pipeline's stage: words of whole copies, by source, within a few documents of the target."""
+    rows = [(i, "w " * (20 + i % 30), f"s{i % 4 if i % 3 else 0}") for i in range(3000)] + [(5000, "x " * 25, "s1")] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, took = defaultdict(int), Counter()
+    for _, text, source in rows:
+        sizes[source] += size(text)
+    for r in mixing.mixed_documents(frame).collect():
+        took[r["source"]] += size(r["text"])
+    for s, want in targets(sizes).items():
+        assert abs(took[s] - want) <= 0.02 * want + 50, (s, took[s], want)
