@@ -6,7 +6,8 @@ the mean of its windows' probabilities by length; all windows of the whole text
 classes (the most frequent of the sample, and one for the rest), so that a filter's first and last two bytes
 are looked up as pairs.
 
-Defined results: `und` with score 0 if the text is null or has no letter; ties go to the language first in code
+Defined results: `und` with score 0 if the text is null or has no letter (a character of Unicode's categories L:
+fractions, circled digits and the like are none); ties go to the language first in code
 point order; repeated rows get equal results; without labelled rows every text is `und`; only doc_id, text and
 lang are read, lang for training alone, so other columns can't clash.
 """
@@ -14,6 +15,7 @@ lang are read, lang for training alone, so other columns can't clash.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,14 @@ SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 4000, 4
 WINDOW, CLASSES, FILTERS, WIDTHS = 128, 64, 12, (2, 3, 4)
 EPOCHS, STEPS, BATCH, RATE, FOLDS = 6, 400, 256, 0.01, 5
 UNKNOWN = "und"
-letter = re.compile(r"[^\W\d_]")
+#: What may be a letter; has_letter() asks Unicode.
+maybe_letter = re.compile(r"[^\W\d_]")
+#: Times its share by chance that a language has to reach to stand out among several.
+CHANCE = 1.2
+
+
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(m[0])[0] == "L" for m in maybe_letter.finditer(text))
 
 
 def held_out(folds: int = FOLDS) -> F.Column:
@@ -129,18 +138,20 @@ class Scorer:
             np.add.at(total, owner, self.probabilities(codes) * size[:, None])
         total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-9)
         best = total.argmax(axis=1)
-        return [(self.net.languages[b], float(min(1.0, p[b]))) if letter.search(t) else (UNKNOWN, 0.0) for t, b, p in zip(texts, best, total, strict=True)]
+        return [(self.net.languages[b], float(min(1.0, p[b]))) if has_letter(t) else (UNKNOWN, 0.0) for t, b, p in zip(texts, best, total, strict=True)]
 
 
 def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, seed: int = 3) -> Network | None:
     """Fit on a bounded sample of labelled documents outside the held-out fold, chosen by a seeded hash."""
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = usable.select("doc_id").count()
-    chosen = usable.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(max(1, n))) < documents)
+    by_hash = F.xxhash64(F.lit(seed), "doc_id", "text")
+    chosen = usable.filter(F.pmod(by_hash, F.lit(max(1, n))) < documents)
     length = F.greatest(F.length("text") - WINDOW, F.lit(0))
     starts = [(length * i / max(1, SAMPLE_WINDOWS - 1)).cast("int") + 1 for i in range(SAMPLE_WINDOWS)]
-    sample = chosen.select("doc_id", "lang", F.array_distinct(F.array(*[F.substring("text", s, F.lit(WINDOW)) for s in starts])).alias("parts")).limit(2 * documents).toPandas()
-    sample = sample.sort_values(["doc_id", "lang"], kind="stable")
+    sample = chosen.select("doc_id", "lang", by_hash.alias("hash"), F.array_distinct(F.array(*[F.substring("text", s, F.lit(WINDOW)) for s in starts])).alias("parts"))
+    # in order, so that it's the same sample in each run, however rows repeat
+    sample = sample.orderBy("hash", "doc_id", "lang", "parts").limit(2 * documents).toPandas()
     languages = sorted(sample["lang"].unique())
     if not languages:
         return None
@@ -179,17 +190,24 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def in_known_language(docs: DataFrame, net: Network | None, least: float = 0.0) -> DataFrame:
+def least_score(n_languages: int) -> float:
+    """The score below which no language of several stands out. One or two always do: a text of both is no junk."""
+    return CHANCE / n_languages if n_languages > 2 else 0.0
+
+
+def in_known_language(docs: DataFrame, net: Network | None, least: float | None = None) -> DataFrame:
     """The documents in which a language is found, with the columns of docs. Rejected are those without a
-    letter and those whose best language scores below `least`."""
+    letter and those whose best language scores below `least` (least_score() by default). Without a network, for
+    lack of labelled rows, only the former."""
     scorer, columns = Scorer(net) if net else None, docs.columns
+    bound = least if least is not None else least_score(len(net.languages) if net else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, good = batch.column(columns.index("text")), []
             for at in range(0, batch.num_rows, 64):
                 part = [t or "" for t in texts[at : at + 64].to_pylist()]
-                good += [lang != UNKNOWN and score >= least for lang, score in (scorer.predict(part) if scorer else [(UNKNOWN, 0.0)] * len(part))]
+                good += [lang != UNKNOWN and score >= bound for lang, score in scorer.predict(part)] if scorer else map(has_letter, part)
             yield batch.filter(pa.array(good, pa.bool_()))
 
     # by place: a name with a dot in it can't be looked up
