@@ -1,13 +1,14 @@
 """Toxicity by maximum-scoring segments.
 
-Words score by their log-odds between toxic and other documents with a Dirichlet prior in proportion to the
-whole sample; words whose z-score is significant form the lexicon, and all others cost DRIFT. In a text's
-sequence of words, the linear-time scan of Ruzzo and Tompa finds all maximal segments. A segment of score s among
-n words has E = K n exp(-lambda s), with lambda from the words of other documents (Karlin and Altschul) and K
-from their maxima. Segments with E below EXPECT are passages. A logistic curve over -ln E of the best
-segment and the number of passages gives the document's score.
-
-Defined results: a null text counts as empty; a text without lexicon words, also the empty one, gets the rate of
+Every word of the training documents scores by its log-odds between toxic and other documents, with a Dirichlet
+prior in proportion to the two kinds, so that rare words score little and unknown ones nothing; and each word costs
+DRIFT. Innocent words so speak against a passage, and mildly toxic ones for it. In a text's sequence of scores, the
+linear-time scan of Ruzzo and Tompa finds all maximal segments. A segment of score s among n words has
+E = K n exp(-lambda s), with lambda from the scores of other documents' words (Karlin and Altschul) and K from their
+maxima. Segments with E below EXPECT are passages. A logistic curve over -ln E of the best segment and the number of
+passages, all of them, gives the document's score.
+
+Defined results: a null text counts as empty; a text without a positive word, also the empty one, gets the rate of
 toxic documents among such; repeated rows get equal results; labels that are null or of unknown documents
 don't count, and of several labels of a doc_id the largest counts; without labels of both kinds every score is
 the rate of toxic labels (0 without any); only doc_id and text, and of labels doc_id and toxic, are read.
@@ -25,16 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The bounded sample of labelled documents, and the most words of the lexicon.
-SAMPLE, LEXICON = 20_000, 20_000
-Z, DRIFT, EXPECT, FOLDS, FOLD, LIKELY = 3.0, -0.5, 0.05, 4, 2, 0.3
-#: The prior's words, as a share of the sample's. Documents that a word of the lexicon occurs in at least.
-PRIOR, SEEN = 0.1, 3
+from quarry.llm.common import cut
+
+#: The bounded sample of labelled documents, and the most words of the model, by how sure their odds are.
+SAMPLE, LEXICON = 20_000, 100_000
+DRIFT, EXPECT, FOLDS, FOLD, LIKELY = -0.5, 0.05, 4, 2, 0.3
+#: Documents that each word is taken to have been seen in before, in proportion to the two kinds.
+PRIOR = 8.0
 word = re.compile(r"[^\W\d_]+")
 
 
+class Odds(dict):
+    """Scores of words; any other word costs DRIFT."""
+
+    def __missing__(self, _: str) -> float:
+        return DRIFT
+
+
 class Model(NamedTuple):
-    lexicon: dict[str, float]
+    scores: Odds
     rate: float  # lambda
     scale: float  # K
     weights: tuple[float, float, float]
@@ -50,19 +60,17 @@ def fold() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[Segment]:
-    """All maximal scoring segments of a sequence in which `hits` (place, score) are positive and all other
-    places score drift.
+def segments(scores: np.ndarray) -> list[Segment]:
+    """All maximal scoring segments of a sequence.
 
     Each candidate keeps the totals before and after it, and a link to the last candidate before it with a
     smaller total before; candidates in between can't join it, so links make the scan linear.
     """
+    totals = np.concatenate([[0.0], np.cumsum(scores)])
     done: list[list] = []  # first, last, total before, total after, link
-    total, at = 0.0, 0
-    for place, score in hits:
-        total += drift * (place - at)
-        now = [place, place, total, total + score, -1]
-        total, at = total + score, place + 1
+    places = np.flatnonzero(scores > 0)
+    for place, before, after in zip(places.tolist(), totals[places].tolist(), totals[places + 1].tolist(), strict=True):
+        now = [place, place, before, after, -1]
         j = len(done) - 1
         while True:
             while j >= 0 and done[j][2] >= now[2]:
@@ -77,9 +85,9 @@ def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[Segmen
     return [Segment(a, b, after - before) for a, b, before, after, _ in done]
 
 
-def hits_of(text: str, lexicon: dict[str, float]) -> tuple[list[tuple[int, float]], int]:
+def scores_of(text: str, model: Model) -> np.ndarray:
     words = word.findall(text.lower())
-    return [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon], len(words)
+    return np.fromiter(map(model.scores.__getitem__, words), np.float64, len(words))
 
 
 def decay(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -94,10 +102,10 @@ def decay(scores: np.ndarray, shares: np.ndarray) -> float:
 
 def features(text: str, model: Model) -> tuple[float, int, list[tuple[Segment, float]]]:
     """-ln E of the best segment (0 without one), number of passages, and the passages with their E."""
-    hits, n = hits_of(text, model.lexicon)
-    if not hits:
+    scores = scores_of(text, model)
+    found = [(s, model.scale * len(scores) * math.exp(-min(700.0, model.rate * s.score))) for s in segments(scores)]
+    if not found:
         return 0.0, 0, []
-    found = [(s, model.scale * n * math.exp(-model.rate * s.score)) for s in segments(hits)]
     passages = [(s, e) for s, e in found if e <= EXPECT]
     return min(60.0, max(0.05, -math.log(max(1e-300, min(e for _, e in found))) + 5)), len(passages), passages
 
@@ -121,57 +129,56 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     """Fit on a bounded sample of labels outside the held-out fold, chosen by a seeded hash."""
     usable = labels.filter((fold() != FOLD) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     n = usable.count()
-    chosen = usable.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(max(1, n))) < sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(2 * sample)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    words = texts.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    counts = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).cast("double").alias("pos"), F.count("*").cast("double").alias("all"))
-    totals = counts.agg(F.sum("pos"), F.sum("all")).first()
-    pos, every = (totals[0] or 0.0), (totals[1] or 0.0)
-    sizes = {r["toxic"]: r["n"] for r in chosen.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    by_hash = F.xxhash64(F.lit(seed), "doc_id")
+    chosen = usable.filter(F.pmod(by_hash, F.lit(max(1, n))) < sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(by_hash, "doc_id").limit(2 * sample)
+    texts = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select((F.col("toxic") > 0).alias("toxic"), "text"), "toxic-sample")
+    each = texts.select(F.monotonically_increasing_id().alias("uid"), "toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    in_text = each.groupBy("uid", "toxic", "word").agg(F.count("*").alias("times"))
+    one, other = F.when(F.col("toxic"), 1.0).otherwise(0.0), F.when(F.col("toxic"), 0).otherwise(F.col("times"))
+    counts = cut(in_text.groupBy("word").agg(F.sum(one).alias("pos"), F.count("*").cast("double").alias("all"), F.sum(other).cast("double").alias("clean")), "toxic-words")
+    pos, every, clean = (v or 0.0 for v in counts.agg(F.sum("pos"), F.sum("all"), F.sum("clean")).first())
+    sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     base = sizes.get(True, 0) / max(1, sum(sizes.values()))
     flat = (math.log(max(base, 1e-9) / max(1 - base, 1e-9)), 0.0, 0.0)
     if not sizes.get(True) or not sizes.get(False) or not pos or pos == every:
-        return Model({}, 1.0, 1.0, flat)
-    a, prior = F.col("all") * PRIOR, every * PRIOR
-    y1, y0 = F.col("pos") + a, F.col("all") - F.col("pos") + a
-    odds = F.log(y1 / (pos + prior - y1)) - F.log(y0 / (every - pos + prior - y0))
-    scored = counts.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / y1 + 1 / y0)).filter((F.col("z") >= Z) & (F.col("pos") >= SEEN))
-    top = scored.orderBy(F.col("z").desc(), "word").limit(LEXICON).collect()
-    lexicon = {r["word"]: float(r["odds"]) for r in top}
-    model = Model(lexicon, 1.0, 1.0, flat)
-    rows = sorted(measured(texts, model, "toxic"), key=lambda r: (r["best"], r["n_words"], r["toxic"]))
-    other = [r for r in rows if not r["toxic"]]
-    # words of other documents: how often lexicon words occur there, half a time at least
-    n_words = sum(r["n_words"] for r in other) + 1.0
-    shares = np.array([(r["all"] - r["pos"] + 0.5) / n_words for r in top])
-    rate = decay(np.array([*lexicon.values(), DRIFT]), np.array([*shares, max(1e-9, 1 - shares.sum())]))
-    scale = (len(other) + 1) / (sum(r["n_words"] * math.exp(-rate * r["best"]) for r in other) + 1)
-    model = Model(lexicon, rate, scale, flat)
-    # the features are found again from each document's segment scores
-    x, y = [], []
-    for r in rows:
-        e = [scale * r["n_words"] * math.exp(-rate * s) for s in r["scores"]]
-        best = min(60.0, max(0.05, -math.log(max(1e-300, min(e))) + 5)) if e else 0.0
-        x.append([1.0, best, math.log1p(sum(v <= EXPECT for v in e))])
-        y.append(float(r["toxic"] > 0))
-    return model._replace(weights=tuple(float(v) for v in logistic(np.array(x), np.array(y))))
-
-
-def measured(texts: DataFrame, model: Model, label: str) -> list:
-    """Of a bounded sample: label, n_words, best and all segment scores (the 100 largest)."""
-    lexicon = model.lexicon
+        return Model(Odds(), 1.0, 1.0, flat)
+    y1, y0 = F.col("pos") + PRIOR * pos / every, F.col("all") - F.col("pos") + PRIOR * (every - pos) / every
+    odds = F.log(y1 / pos) - F.log(y0 / (every - pos))
+    sure = F.abs(odds) / F.sqrt(1 / y1 + 1 / y0)
+    top = counts.withColumn("odds", odds).withColumn("sure", sure).orderBy(F.desc("sure"), "word").limit(LEXICON).select("word", "odds", "clean").collect()
+    scores = Odds({r["word"]: float(r["odds"]) + DRIFT for r in top})
+    model = Model(scores, 1.0, 1.0, flat)
+    best = measured(texts, model, raw=True)
+    # how often each score occurs among the words of other documents; words outside the model cost DRIFT
+    shares = np.array([r["clean"] for r in top]) / max(1.0, clean)
+    rate = decay(np.array([*scores.values(), DRIFT]), np.array([*shares, max(1e-9, 1 - shares.sum())]))
+    of_clean = [(n, s) for toxic, n, s in best if not toxic]
+    scale = (len(of_clean) + 1) / (sum(n * math.exp(-min(700.0, rate * s)) for n, s in of_clean) + 1)
+    model = Model(scores, rate, scale, flat)
+    rows = measured(texts, model, raw=False)
+    x, y = np.array([[1.0, best, math.log1p(n)] for _, n, best in rows]), np.array([float(toxic) for toxic, *_ in rows])
+    return model._replace(weights=tuple(float(v) for v in logistic(x, y)))
+
+
+def measured(texts: DataFrame, model: Model, raw: bool) -> list[tuple[bool, int, float]]:
+    """Of each text of the bounded sample: toxic, and the number of words and the best segment's score (raw), or
+    the two features of the curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            n, best = [], []
             for text in batch.column(1):
-                hits, n = hits_of(text.as_py(), lexicon)
-                scores = sorted((s.score for s in segments(hits)), reverse=True)[:100]
-                rows.append((n, max(scores, default=0.0), scores))
-            n, best, scores = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "n_words", "best", "scores"])
-
-    return texts.select(label, "text").mapInArrow(run, "toxic int, n_words long, best double, scores array<double>").collect()
+                if raw:
+                    scores = scores_of(text.as_py(), model)
+                    n.append(len(scores))
+                    best.append(max((s.score for s in segments(scores)), default=0.0))
+                else:
+                    value, passages, _ = features(text.as_py(), model)
+                    n.append(passages)
+                    best.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64())], ["toxic", "n", "best"])
+
+    return sorted((r["toxic"], r["n"], r["best"]) for r in texts.select("toxic", "text").mapInArrow(run, "toxic boolean, n long, best double").collect())
 
 
 def scored(docs: DataFrame, model: Model, likely: float = LIKELY) -> DataFrame:
