@@ -9,11 +9,14 @@ for chance collisions, before any text moves.
 A band's bucket never yields all its pairs. First each member is tested with the least and the greatest
 member (a star); then only members that are still in different components, and whose estimate allows a link,
 are tested: in buckets of SMALL members as pairs, in larger ones within tiles of two blocks of at most BLOCK
-members, which send on only the links that join components. So connectivity is that of all candidate pairs.
+members, which send on only the links that join components. Members of a bucket's largest component aren't
+tested with each other, so each of them goes to as many tiles as there are blocks of other members, which a
+group of copies has few of. So connectivity is that of all candidate pairs.
 Pairs that differ in size too much, or whose estimate is five standard deviations below the threshold, are
 dropped.
 
-Defined results: a document without words, or with a null text, has no set, links with nothing and is kept;
+Defined results: ids are whole numbers, and a doc_id that is none (a text, say) raises an error; a document
+without words, or with a null text, has no set, links with nothing and is kept;
 one with fewer than five words has its whole word sequence as only shingle; a null doc_id links with nothing
 and is kept; rows with equal doc_id are one vertex; an empty table gives an empty result; only doc_id and
 text are read, so other columns can't clash.
@@ -26,10 +29,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, cut, holding
+from quarry.llm.common import bounded, cut, holding, joined
 from quarry.llm.components import connected
 
 WORDS, MINIMA, ROWS = 5, 128, 6
@@ -192,12 +194,20 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def tile_links(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """rows: key, rep, root, size, n, p0..p3. Links (a, b) that join different roots, found in each bucket's
-    tiles of two blocks; a tile sends on one less than its members at most."""
+    tiles of two blocks; a tile sends on one less than its members at most.
+
+    Blocks of the bucket's largest component have numbers below 0 and meet only those of other members.
+    """
     ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct(), "near-large")
     texts = docs.select("doc_id", "text").join(bounded(ids, ids.count(), 16), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cells = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "root", "n", "p0", "p1", "p2", "p3").join(texts, "rep")
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("own"))
+    main = cut(sizes.groupBy("key").agg(F.max(F.struct("own", "root")).alias("most"), F.sum("own").alias("all")).select("key", F.col("most.root").alias("main"), *[F.ceil(c / BLOCK).cast("int").alias(name) for c, name in ((F.col("most.own"), "n_main"), (F.col("all") - F.col("most.own"), "n_rest"))]), "near-main")
+    in_main = F.col("root") == F.col("main")
+    spread = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), n)).cast("int")
+    blocks = joined(rows, main, "key").withColumn("block", F.when(in_main, -1 - spread(F.col("n_main"))).otherwise(spread(F.col("n_rest"))))
+    others = F.explode(F.when(in_main, F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(-F.col("n_main"), F.col("n_rest") - 1)))
+    cells = blocks.withColumn("other", others)
+    cells = joined(cells.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "root", "n", "p0", "p1", "p2", "p3"), cut(texts, "near-large-texts"), "rep")
     least = least_possible(percent)
 
     def run(table: pa.Table) -> pa.Table:
@@ -238,12 +248,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(signatures(docs, percent), "near-signatures")
     sets = found.filter("n > 0 and doc_id is not null")
-    reps = cut(sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("bands", "p0", "p1", "p2", "p3")]), "near-classes")
-    members = sets.join(reps.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select("doc_id", "rep")
+    reps = cut(sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), *[F.any_value(c).alias(c) for c in ("bands", "p0", "p1", "p2", "p3")]), "near-classes")
+    classes = cut(reps.filter("members > 1").select("n", "f1", "f2", "rep"), "near-copies")
+    members = joined(sets.select("doc_id", "n", "f1", "f2"), classes, ["n", "f1", "f2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     sketch = reps.select("rep", "n", "p0", "p1", "p2", "p3")
     keys = reps.select("rep", F.explode("bands").alias("key"))
-    stars = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).filter("low < high")
-    buckets = cut(keys.join(stars, "key"), "near-buckets")
+    stars = cut(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).filter("low < high"), "near-keys")
+    buckets = cut(joined(keys, stars, "key"), "near-buckets")
     sides = buckets.select(F.col("low").alias("a"), F.col("rep").alias("b")).union(buckets.select("rep", "high")).filter("a < b").distinct()
     tested = sides.alias("e").join(sketch.alias("x"), F.col("e.a") == F.col("x.rep")).join(sketch.alias("y"), F.col("e.b") == F.col("y.rep")).filter(possible("x", "y", percent)).select("a", "b")
     tested = cut(tested.distinct(), "near-stars")
@@ -253,8 +264,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = cut(verified(tested, docs, percent).union(twins), "near-links")
     roots = connected(links)
     rest = buckets.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
-    mixed_keys = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_rows = cut(rest.join(mixed_keys, "key").join(sketch, "rep"), "near-open")
+    rest = cut(rest, "near-roots")
+    mixed_keys = cut(rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"), "near-mixed")
+    open_rows = cut(joined(rest, mixed_keys, "key").join(sketch, "rep"), "near-open")
     few = open_rows.filter(F.col("size") <= SMALL)
     x, y = few.alias("x"), few.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y", percent))
@@ -264,19 +276,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     roots = connected(links.union(more))
     rep_root = roots.withColumnRenamed("id", "rep")
     parts = members.join(rep_root, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
-    joined = found.select("doc_id", F.col("n").alias("n_shingles")).join(parts, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = found.select("doc_id", F.col("n").alias("n_shingles")).join(parts, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The documents that are kept, with the columns of docs. Of several rows with one doc_id, the one with
     the least text stays, if any does."""
-    found = near_duplicates(docs, percent)
-    dropped = cut(found.filter("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-dropped")
-    rows = docs.join(bounded(dropped, dropped.count(), 16), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    repeated = cut(found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "near-repeated")
-    if not (n := repeated.count()):
-        return rows
-    again = bounded(repeated, n, 16)
-    first = rows.join(again, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").withColumn("__rn", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("__rn = 1").drop("__rn")
-    return rows.join(again, F.col("doc_id").cast("long") == F.col("__id"), "left_anti").unionByName(first)
+    found = cut(near_duplicates(docs, percent), "near-found")
+    names = docs.columns
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    plain = docs.toDF(*at.values()).withColumn("id", F.col(at["doc_id"]).cast("long"))
+    dropped = cut(found.filter("not kept").select(F.col("doc_id").alias("id")).distinct(), "near-dropped")
+    rows = plain.join(bounded(dropped, dropped.count(), 16), "id", "left_anti")
+    repeated = cut(found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().filter("count > 1").select("id"), "near-repeated")
+    if n := repeated.count():
+        again = bounded(repeated, n, 16)
+        # the least text by an aggregate that is summed up before it moves; equal rows are one
+        text, own = at["text"], [F.col(c) for c in at.values()]
+        several = rows.join(again, "id", "left_semi")
+        first = several.groupBy("id").agg(F.min_by(F.struct(*own), F.struct(F.col(text).isNotNull().alias("there"), F.col(text).alias("text"), F.to_json(F.struct(*own)).alias("rest"))).alias("least")).select("id", "least.*")
+        rows = rows.join(again, "id", "left_anti").unionByName(first)
+    return rows.select(*at.values()).toDF(*names)

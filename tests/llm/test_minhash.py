@@ -60,3 +60,34 @@ def test_stage_keeps_one_of_each_group(odd, empty):
     assert len(ids) == len(set(ids))
     assert {5, 7} <= set(ids) and {4, 6, 8, 9, 10}.isdisjoint(ids)
     assert minhash.without_near_duplicates(empty).count() == 0
+
+
+def test_a_large_group_and_a_few_others_in_one_bucket(spark, monkeypatch):
+    """Members of the largest component meet only the blocks of other members."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(12)
+    base = words(rng, 200).split()
+    rows = []
+    for i in range(200):  # near the base, all alike
+        w = list(base)
+        w[rng.randrange(len(w))] = words(rng, 1)
+        rows.append((i, " ".join(w)))
+    for i in range(40):  # further away, each in its own direction
+        w = list(base)
+        for _ in range(3 + i % 4):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        rows.append((1000 + i, " ".join(w)))
+    seen, tiles = [], minhash.tile_links
+    monkeypatch.setattr(minhash, "tile_links", lambda r, *a: seen.append(r.count()) or tiles(r, *a))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert seen[0] > 0
+
+
+def test_stage_with_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six seven", 3, "x"), (1, "one two three four five six seven", 3, "x"), (1, None, 4, "y"), (2, "one two three four five six seven", 5, "z"), (3, "b", 6, None), (3, "a", 7, "w"), (None, "c", 8, "v"), (None, "c", 8, "v")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, id int, `__id.x` string")
+    out = minhash.without_near_duplicates(frame)
+    assert out.columns == frame.columns
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([rows[2], rows[5], rows[6], rows[7]], key=str)
