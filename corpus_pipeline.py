@@ -11,14 +11,11 @@ from quarry.llm.common import cut
 from quarry.llm.queries import vocabulary
 from quarry.session import ship
 
-#: Languages found with less than this are rejected: below it no language of several stands out.
-LEAST_LANGUAGE_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in which no language stands out, go."""
+    """Documents without a letter go, and those in which no language of three or more stands out from chance."""
     ship(spark)
-    return langid.in_known_language(docs, langid.train(docs), LEAST_LANGUAGE_SCORE)
+    return langid.in_known_language(docs, langid.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
