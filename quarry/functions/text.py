@@ -7,11 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Line separators, leader characters, table and unsafe tags, top-level heading forms, size limits.
+#: Line separators, leader characters, table and unsafe tags, top-level heading form, size limits.
 LINE_SEPARATORS = "\n\r\x0b\x0c\x85  "
 LEADERS = "[·․‧∙⋅]{5,}|\\.{5,}"
-TAGS = "table|thead|tbody|tfoot|tr|td|th|caption|colgroup|col|script|style|iframe"
-HEADING = r"^(?:[IVXⅠ-Ⅻ]+\s*\.|제\s*[0-9]+\s*장)\s*\S"
+TAGS = "table|thead|tbody|caption|tr|th|td|img|p|li|br|script|style|iframe"
+HEADING = r"^(?:[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|제\s*\p{Nd}+\s*장)\s*[.)]?\s*.+$"
 HEADING_CHARS, HEADING_LINES, NGRAM, LEXICAL_SPLIT = 200, 3, 5, r"[^\p{L}\p{N}_-]+"
 NON_CONTENT = "[^0-9A-Za-z가-힣]"
 
@@ -56,8 +56,8 @@ def neutralize_tags(x: Column) -> Column:
 
 
 def escape_cell(x: Column) -> Column:
-    """A Markdown table cell: newline runs become ' / ', backslash and pipe are escaped, tags neutralised."""
-    lines = F.regexp_replace(F.coalesce(x, F.lit("")), r"[\r\n]+", " / ")
+    """A Markdown table cell: normalised, newline runs become ' / ', backslash and pipe are escaped, tags neutralised."""
+    lines = F.regexp_replace(normalize_text(x), "\n+", " / ")
     return neutralize_tags(F.replace(F.replace(lines, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")))
 
 
@@ -145,8 +145,19 @@ def default_overlap(size: int) -> int:
     return round(size / 10)
 
 
+def json_text(x: Column) -> Column:
+    """The JSON text of an answer without its code fence: the whole if it begins and ends as an object or an array,
+    else the longer one that parses of the stretches between its outermost braces and brackets; null if none does."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    whole = F.rlike(bare, F.lit(r"(?s)^(?:\{.*\}|\[.*\])$"))
+    braces, brackets = F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.regexp_extract(bare, r"(?s)\[.*\]", 0)
+    # the parser stops after the first value, so that what follows it shows only within an array and an object
+    within = lambda a, c, b: F.try_parse_json(F.concat(F.lit(a), c, F.lit(b))).isNotNull()
+    parses = lambda c: F.when((c != "") & within("[", c, "]") & within('{"v":', c, "}"), c)
+    longer = F.when(F.length(brackets) > F.length(braces), F.coalesce(parses(brackets), parses(braces))).otherwise(F.coalesce(parses(braces), parses(brackets)))
+    return F.when(whole, bare).otherwise(longer)
+
+
 def json_in(x: Column, schema: str) -> Column:
-    """The JSON object of an answer: whole, or without code fences, or its outermost braces."""
-    bare = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    slice_ = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.from_json(F.when(slice_ != "", slice_), schema)
+    """The JSON object or array of an answer, by schema; null where there is none."""
+    return F.from_json(json_text(x), schema)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,14 +18,18 @@ from pyspark.sql import functions as F
 
 def stride_windows(docs: DataFrame, size: int = 512, overlap: int = 102) -> DataFrame:
     """doc_id, chunk_order (from 1), char_start, char_end, chunk_text: windows of `size` tokens that overlap by
-    `overlap`; the last one ends at the end of the text. An empty text has no chunk."""
+    `overlap`; the last one ends at the end of the text. An empty text has no chunk.
+
+    All windows of a text are cut in one pass (each step looks ahead for its window), so that no window is looked
+    for from the text's start, and no row carries more than its own window.
+    """
     step = size - overlap
     n = F.length("text").cast("long")
-    count = F.greatest(F.lit(1), F.ceil((n - overlap) / step)).cast("long")
-    rows = docs.filter(n > 0).select("doc_id", "text", n.alias("n"), F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("chunk_order"))
-    start = (F.col("chunk_order") - 1) * step
-    end = F.least(start + size, F.col("n"))
-    return rows.select("doc_id", "chunk_order", start.alias("char_start"), end.alias("char_end"), F.substring("text", (start + 1).cast("int"), (end - start).cast("int")).alias("chunk_text"))
+    count = F.greatest(F.lit(1), F.ceil((n - overlap) / step)).cast("int")
+    windows = F.slice(F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1)), F.lit(1), count)
+    rows = docs.filter(n > 0).select("doc_id", F.posexplode(windows).alias("at", "chunk_text"))
+    start = F.col("at").cast("long") * step
+    return rows.select("doc_id", (F.col("at") + 1).cast("long").alias("chunk_order"), start.alias("char_start"), (start + F.length("chunk_text")).alias("char_end"), "chunk_text")
 
 
 def chunk_id(source: Column, size: int, overlap: int, order: Column) -> Column:
@@ -78,6 +83,7 @@ def pack(lengths: list[int], limit: int, overlap: int = 0, minimum_tail: int = 0
     chunks: list[Chunk] = []
     i, carry, carried, n = 0, 0, 0, len(lengths)
     start = 0
+    before = [0, *accumulate(lengths)]
     while i < n:
         if lengths[i] > limit:
             at = 0
@@ -90,11 +96,11 @@ def pack(lengths: list[int], limit: int, overlap: int = 0, minimum_tail: int = 0
             i += 1
             start, carry, carried = i, 0, 0
             continue
-        size, j = carry + sum(lengths[start:i]), i
+        size, j = carry + before[i] - before[start], i
         while j < n and lengths[j] <= limit and size + lengths[j] <= limit:
             size += lengths[j]
             j += 1
-            rest = sum(lengths[j:])
+            rest = before[n] - before[j]
             if j < n and j - 1 in cuts and size >= minimum and (rest >= minimum or rest > limit):
                 break
         if j == i:  # nothing fits beside what was carried
@@ -127,10 +133,11 @@ def repaired(chunks: list[Chunk], lengths: list[int], limit: int, least: int) ->
         return [*chunks[:-2], replace(left, last=right.last, size=left.size + new, mode="merged_with_previous")]
     # whole sentences that begin in the chunk before, ahead of what the last chunk already shares with it
     shared = right.offset if right.offset else 0
+    before = [0, *accumulate(lengths)]
     for k in range(left.last, left.first, -1):
-        if sum(lengths[k : right.first]) <= shared:
+        if before[max(k, right.first)] - before[k] <= shared:
             continue
-        size, given = sum(lengths[k : right.last + 1]), sum(lengths[k : left.last + 1])
+        size, given = before[right.last + 1] - before[k], before[left.last + 1] - before[k]
         if least <= size <= limit and left.size - given - left.overlap > 0:
             return [*chunks[:-2], replace(left, last=k - 1, size=left.size - given), Chunk(k, right.last, size, mode="whole_sentence_rebalance")]
     if right.overlap and right.size >= least:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, conversation, dense, fusion, incremental, lexical, metrics, quality, streams
+from quarry.operators import chunking, conversation, dense, filters, fusion, incremental, lexical, metrics, quality, streams
 
 K, FETCH, KS = 5, 30, [1, 3, 5]
 
@@ -325,10 +325,30 @@ def resume_pending(spark, d):
 
 def upsert_index(spark, d):
     old = read(spark, d, "labels").select("doc_id", "quality")
-    new = read(spark, d, "documents").filter("lang = 'fr'").select("doc_id", F.lit(9).alias("quality"))
+    new = read(spark, d, "documents").select("doc_id", F.lit(9).alias("quality"))
     return incremental.upserted(old, new, ["doc_id"])
 
 
+def metadata_filter(spark, d):
+    wanted = filters.matching({"lang": {"$in": ["en", "fr"]}, "source": "src7"})
+    return read(spark, d, "documents").filter(wanted).select("doc_id", "lang", "source")
+
+
+def long_chunks(spark, d):
+    chunks = chunking.stride_windows(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_order", F.nullif(F.length("chunk_text"), F.lit(512)).alias("token_count"))
+    return filters.long_enough(chunks).select("doc_id", "chunk_order", F.col("token_count").cast("long").alias("token_count"))
+
+
+def text_lookup(spark, d):
+    hits = read(spark, d, "labels").select((F.col("doc_id") * 2).alias("doc_id"))
+    return filters.with_texts(hits, read(spark, d, "documents"), "doc_id").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+def answerable_questions(spark, d):
+    asked = read(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 0, "answer").otherwise("refuse").alias("behaviour"), F.filter(F.array(F.when(F.col("quality") == 1, F.col("doc_id"))), lambda x: x.isNotNull()).alias("gold"))
+    return filters.answerable(asked, "behaviour", "gold").select("doc_id")
+
+
 def search_todo(spark, d):
     variants = spark.createDataFrame([("bm25",), ("hybrid_c30",), ("rerank_c30",)], "variant string")
     log = questions(spark, d).join(read(spark, d, "labels"), F.col("query_id") == F.col("doc_id")).select("query_id", F.lit("bm25").alias("variant"))
@@ -403,7 +423,11 @@ SQL = {
     "rewrite_skippable": rf"WITH {HISTORY.format(n=10)} SELECT conv_id, turn, trim(coalesce(text, '')) = '' OR coalesce(len(said), 0) = 0 OR (length(trim(coalesce(text, ''))) >= 20 AND NOT regexp_matches(trim(coalesce(text, '')), '(^|[^\p{{L}}\p{{N}}_])(그거|그것|위|이전|해당|그럼|그러면)($|[^\p{{L}}\p{{N}}_])')) AS skip FROM h",
     "format_context": rf"WITH {RERANK} SELECT query_id, string_agg('[' || new_rank || ']' || chr(10) || 'chunk_id: ' || rer.doc_id || chr(10) || 'source: ' || coalesce(nullif(trim(source), ''), '-') || chr(10) || 'page: -', chr(10) || chr(10) ORDER BY new_rank) AS context FROM rer JOIN documents d ON d.doc_id = rer.doc_id WHERE new_rank <= 5 GROUP BY query_id",
     "resume_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "upsert_index": "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') UNION ALL SELECT doc_id, CAST(9 AS INTEGER) FROM documents WHERE lang = 'fr'",
+    "metadata_filter": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'fr') AND source = 'src7'",
+    "long_chunks": "WITH c AS (SELECT doc_id, length(text) AS n, unnest(range(1, 1 + greatest(1, CAST(ceil((length(text) - 102) / 410.0) AS BIGINT)))) AS chunk_order FROM documents WHERE length(text) > 0) SELECT doc_id, chunk_order, least(512, n - (chunk_order - 1) * 410) AS token_count FROM c WHERE least(512, n - (chunk_order - 1) * 410) BETWEEN 96 AND 511",
+    "text_lookup": "SELECT l.doc_id * 2 AS doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id * 2",
+    "answerable_questions": "SELECT doc_id FROM labels WHERE toxic = 0 AND quality = 1",
+    "upsert_index": "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, CAST(9 AS INTEGER) FROM documents",
     "search_todo": "SELECT item_id AS query_id, variant FROM benchmark CROSS JOIN (VALUES ('bm25'), ('hybrid_c30'), ('rerank_c30')) AS v(variant) WHERE NOT (variant = 'bm25' AND item_id IN (SELECT doc_id FROM labels))",
 }
 #: Folds that SQL doesn't express plainly; tests hold them against brute force.

@@ -73,7 +73,7 @@ def escape_cell(spark, d):
 
 
 def neutralize_tags(spark, d):
-    return read(spark, d, "pages").select("page_id", F.sha2(T.neutralize_tags(F.concat(F.col("html"), F.lit("<TABLE><tr ><td x=1>a</td></tr></table><b>b</b><table"))), 256).alias("html"))
+    return read(spark, d, "pages").select("page_id", F.sha2(T.neutralize_tags(F.concat(F.col("html"), F.lit("<TABLE><tr ><td x=1>a</td></tr></table><b>b</b><img src=x><br/><tfoot><col><table"))), 256).alias("html"))
 
 
 def escape_html(spark, d):
@@ -81,8 +81,9 @@ def escape_html(spark, d):
 
 
 def heading_detect(spark, d):
-    lead = F.when(F.col("p_size") % 3 == 0, "IV. ").when(F.col("p_size") % 3 == 1, "제 2 장 ").otherwise("- ")
-    return read(spark, d, "part").select("p_partkey", T.heading_of(F.concat(F.lit("\n\nx\n"), lead, "p_name", F.lit("\nVI. late\nX. later"))).alias("heading"))
+    leads = ["Ⅳ. ", "제 2 장 ", "- ", "IV. ", "Ⅹ) ", "Ⅰ", "제3장"]
+    lead = F.element_at(F.array(*map(F.lit, leads)), (F.col("p_size") % len(leads) + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", T.heading_of(F.concat(F.lit("\n\nx\n"), lead, "p_name", F.lit("\nⅥ late  one\nⅩ. later"))).alias("heading"))
 
 
 def page_marker(spark, d):
@@ -120,7 +121,8 @@ def split_ids(spark, d):
 
 
 def extract_json(spark, d):
-    answer = F.concat(F.lit('Sure: ```json\n{"id": '), F.col("event_id").cast("string"), F.lit(', "kind": "'), "event_type", F.lit('"}\n```'))
+    # whole events, their properties and all, between words and fences
+    answer = F.concat(F.lit('Sure [1]: ```json\n{"id": '), F.col("event_id").cast("string"), F.lit(', "kind": "'), "event_type", F.lit('", "of": [{"a": 1}]}\n```'))
     return read(spark, d, "events").select("event_id", T.json_in(answer, "id long, kind string").alias("j")).select("event_id", "j.id", "j.kind")
 
 
@@ -211,9 +213,9 @@ def set_difference(spark, d):
     return quality.difference(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id")
 
 
-CELL = r"""replace(replace(regexp_replace(coalesce({x}, ''), '[\r\n]+', ' / ', 'g'), '\', '\\'), '|', '\|')"""
-TAGGED = r"""regexp_replace(regexp_replace({x}, '(?i)<(/?(?:table|thead|tbody|tfoot|tr|td|th|caption|colgroup|col|script|style|iframe)\b[^<>]*)>', '&lt;\1&gt;', 'g'), '(?i)<(/?(?:table|thead|tbody|tfoot|tr|td|th|caption|colgroup|col|script|style|iframe)\b)', '&lt;\1', 'g')"""
+TAGGED = r"""regexp_replace(regexp_replace({x}, '(?i)<(/?(?:table|thead|tbody|caption|tr|th|td|img|p|li|br|script|style|iframe)\b[^<>]*)>', '&lt;\1&gt;', 'g'), '(?i)<(/?(?:table|thead|tbody|caption|tr|th|td|img|p|li|br|script|style|iframe)\b)', '&lt;\1', 'g')"""
 NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[·․‧∙⋅]{5,}|\.{5,}', ' ', 'g'), '(?m)[ \t\x0B\f]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')"""
+CELL = r"""replace(replace(regexp_replace(""" + NORMAL.replace("(text,", "({x},").replace("{5,}", "{{5,}}").replace("{3,}", "{{3,}}") + r""", '\n+', ' / ', 'g'), '\', '\\'), '|', '\|')"""
 GFM = r"""gfm AS (SELECT r_name, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)"""
 WORDS = "words AS (SELECT l_orderkey, l_linenumber AS word_id, CAST(l_partkey % 600 AS DOUBLE) AS x, CAST(l_suppkey % 90 AS DOUBLE) AS y FROM lineitem)"
 
@@ -229,16 +231,16 @@ SQL = {
     "embedding_text": "SELECT doc_id, sha256(translate(text, chr(10) || chr(13) || chr(11) || chr(12) || chr(133) || chr(8232) || chr(8233), '       ')) AS embedding_text, length(text) AS n FROM documents",
     "alnum_count": r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS n_alnum FROM documents",
     "escape_cell": f"SELECT page_id, sha256({TAGGED.format(x=CELL.format(x='html'))}) AS cell FROM pages",
-    "neutralize_tags": "SELECT page_id, sha256(" + TAGGED.format(x="html || '<TABLE><tr ><td x=1>a</td></tr></table><b>b</b><table'") + ") AS html FROM pages",
+    "neutralize_tags": "SELECT page_id, sha256(" + TAGGED.format(x="html || '<TABLE><tr ><td x=1>a</td></tr></table><b>b</b><img src=x><br/><tfoot><col><table'") + ") AS html FROM pages",
     "escape_html": "SELECT page_id, sha256(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>')) AS escaped FROM pages",
-    "heading_detect": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'IV. ' || trim(p_name) WHEN 1 THEN '제 2 장 ' || trim(p_name) ELSE 'VI. late' END AS heading FROM part",
+    "heading_detect": r"WITH t AS (SELECT p_partkey, unnest(['x', ['Ⅳ. ', '제 2 장 ', '- ', 'IV. ', 'Ⅹ) ', 'Ⅰ', '제3장'][p_size % 7 + 1] || p_name, 'Ⅵ late  one', 'Ⅹ. later']) AS line, unnest([1, 2, 3, 4]) AS place FROM part), c AS (SELECT p_partkey, place, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM t WHERE place <= 3) SELECT p_partkey, arg_min(line, place) FILTER (WHERE length(line) <= 200 AND regexp_matches(line, '^(?:[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|제\s*\p{Nd}+\s*장)\s*[.)]?\s*.+$')) AS heading FROM c GROUP BY p_partkey",
     "page_marker": "SELECT p_partkey, CASE WHEN p_size NOT BETWEEN 1 AND 999 THEN NULL WHEN p_partkey % 4 < 2 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 4 = 2 THEN p_size || ',' || (p_size + 1) END AS pages FROM part",
     "context_prefix": "SELECT doc_id, concat_ws(chr(10), 'source: ' || nullif(source, ''), 'lang: ' || nullif(lang, '')) AS prefix FROM documents",
     "strategy_ids": "SELECT doc_id, 'naive_fixed_512_51' AS strategy_id, substr(sha256(text), 1, 16) || ':N512O51:C000001' AS first_chunk_id FROM documents",
     "metadata_scalarize": "SELECT doc_id, concat_ws(';', 'lang=' || nullif(lang, ''), CASE WHEN doc_id % 2 = 0 THEN 'odd=even' END, 'source=' || nullif(source, '')) AS metadata FROM documents",
     "truncate_preview": "SELECT doc_id, sha256(CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '…' ELSE text END) AS preview FROM documents",
     "split_ids": "SELECT doc_id, 1 + CAST(coalesce(lang, '') <> '' AS BIGINT) + CAST(coalesce(source, '') <> '' AS BIGINT) AS n_ids, concat_ws(',', doc_id, nullif(lang, ''), nullif(source, '')) AS ids FROM documents",
-    "extract_json": "SELECT event_id, event_id AS id, event_type AS kind FROM events",
+    "extract_json": r"""WITH a AS (SELECT event_id, 'Sure [1]: ```json' || chr(10) || '{"id": ' || event_id || ', "kind": "' || event_type || '", "of": [{"a": 1}]}' || chr(10) || '```' AS t FROM events), j AS (SELECT event_id, regexp_extract(t, '(?s)\{.*\}') AS j FROM a) SELECT event_id, CAST(json_extract(j, '$.id') AS BIGINT) AS id, json_extract_string(j, '$.kind') AS kind FROM j""",
     "event_props": "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE json_valid(props)) AS n_parsed FROM events GROUP BY event_type",
     "render_gfm": f"WITH {GFM} SELECT * FROM gfm",
     "markdown_to_plain": "SELECT r_name, 'caption n_nationkey n_name ' || string_agg(n_nationkey || ' ' || n_name, ' ' ORDER BY n_nationkey) AS plain FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",

@@ -2,14 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import conversation, dense, streams, tables
+from quarry.operators import chunking, conversation, dense, filters, streams, tables
 
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("text", "pages"), [("- 2 -", [2]), ("-5-", [5]), ("- 130 - - 131 -", [130, 131]), ("- 2026 -", None), ("- 001 -", None), ("- 0 -", None), ("- 130 - - 132 -", None), ("- ５ -", None)])
+@pytest.mark.parametrize(("text", "pages"), [("- 2 -", [2]), ("-5-", [5]), ("- 41 - - 42 -", [41, 42]), ("- 1405 -", None), ("- 07 -", None), ("- 0 -", None), ("- 41 - - 43 -", None), ("- ５ -", None)])
 def test_page_marker(spark, text, pages):
     assert one(spark, T.page_marker(F.lit(text))) == pages
 
@@ -80,3 +80,45 @@ def test_stream_spans(spark):
     rows = spark.createDataFrame([(1, 1, "ab", True, "s"), (1, 2, "", False, "s"), (1, 3, "cde", True, "s"), (1, 4, "f", True, "t")], "doc_id int, block_order int, block_text string, indexable boolean, section string")
     out = streams.char_spans(streams.text_streams(rows, "section")).orderBy("block_order").collect()
     assert [(r.stream_no, r.char_start, r.char_end) for r in out] == [(1, 0, 2), (1, 4, 7), (2, 0, 1)]
+
+
+@pytest.mark.parametrize(("text", "heading"), [("Ⅰ 추진개요", "Ⅰ 추진개요"), ("\n Ⅳ.  개요\n", "Ⅳ. 개요"), ("Ⅹ) 부록", "Ⅹ) 부록"), ("a\nb\n제 3 장 범위", "제 3 장 범위"), ("제2장범위", "제2장범위"), ("IV. 개요", None), ("a\nb\nc\nⅠ 개요", None), ("Ⅰ " + "x" * 199, None), ("Ⅰ", None)])
+def test_headings(spark, text, heading):
+    assert one(spark, T.heading_of(F.lit(text))) == heading
+
+
+@pytest.mark.parametrize(("text", "out"), [("<IMG src=a> <p>x</P><br/> <li", "&lt;IMG src=a&gt; &lt;p&gt;x&lt;/P&gt;&lt;br/&gt; &lt;li"), ("a > b <H/W 공통> <tfoot> <col> <pre>", "a > b <H/W 공통> <tfoot> <col> <pre>"), ("<script>x</script><caption>", "&lt;script&gt;x&lt;/script&gt;&lt;caption&gt;")])
+def test_tags(spark, text, out):
+    assert one(spark, T.neutralize_tags(F.lit(text))) == out
+
+
+def test_cells_are_normalised(spark):
+    assert one(spark, T.escape_cell(F.lit("\n a|b \r\n\r\n\r\nc\\d ·····e\n"))) == " a\\|b / c\\\\d  e"
+
+
+@pytest.mark.parametrize(("text", "out"), [('```json\n{"a": 1}\n```', '{"a": 1}'), ("see [1, 2] and {x", "[1, 2]"), ('at [1], [2] or {"a": 1}', '{"a": 1}'), ('so {"a": [1]} it is', '{"a": [1]}'), ('[{"a": 1}, {"a": 2}] ok', '[{"a": 1}, {"a": 2}]'), ("no {x} or [y]", None), ("", None), (None, None), ("{broken}", "{broken}")])
+def test_json_of_answers(spark, text, out):
+    assert one(spark, T.json_text(F.lit(text).cast("string"))) == out
+
+
+def test_filters(spark):
+    rows = spark.createDataFrame([(1, "a", 100, True, "x"), (2, "b", 95, None, "x"), (3, None, None, True, " \n"), (4, "c", 96, True, None)], "id int, m string, token_count int, ok boolean, text string")
+    ids = lambda df: [r["id"] for r in df.orderBy("id").collect()]
+    assert ids(rows.filter(filters.matching({}))) == [1, 2, 3, 4]
+    assert ids(rows.filter(filters.matching({"m": {"$in": ["a", "c"]}, "token_count": 96}))) == [4]
+    assert ids(rows.filter(~filters.matching({"m": "a"}))) == [2, 3, 4]
+    assert ids(filters.long_enough(rows)) == [1, 4]
+    assert ids(rows.filter(filters.eligible(["ok"]))) == [1]
+    hits = spark.createDataFrame([(1,), (9,)], "id int")
+    assert {r["id"]: r["text"] for r in filters.with_texts(hits, rows, "id").collect()} == {1: "x", 9: ""}
+    with pytest.raises(ValueError):
+        filters.matching({"m": {"$gt": 1}})
+
+
+def test_windows_of_long_texts(spark):
+    """A text of ten million characters is cut in one pass."""
+    text = F.concat(F.repeat(F.lit("abcdé"), 2_000_000), F.lit("end"))
+    out = chunking.stride_windows(spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text")))
+    n, last, size = out.agg(F.count("*"), F.max("char_end"), F.sum(F.length("chunk_text"))).first()
+    assert (last, n) == (10_000_003, -(-(10_000_003 - 102) // 410)) and size == 10_000_003 + (n - 1) * 102
+    assert len(chunking.pack([10] * 50_000, 512, 51)) > 1000
