@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,8 +17,9 @@ from pyspark.sql import types as T
 
 from quarry.session import ship
 
-#: Bytes up to which a side may be broadcast; its size is counted first.
-BROADCAST_BYTES = 16 << 20
+#: Bytes up to which a side may be broadcast; its size is counted first. Executors keep what was broadcast until the
+#: driver collects its garbage, so a job of many joins holds many such sides at once.
+BROADCAST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -121,6 +124,11 @@ _held: dict[str, Callable[[], None]] = {}
 def holding(name: str, clear: Callable[[], None]) -> None:
     """In a Python worker: an operator that keeps a cache between tasks says so, and those of other operators
     that ran there before are emptied."""
-    for other in [n for n in _held if n != name]:
+    others = [n for n in _held if n != name]
+    for other in others:
         _held.pop(other)()
     _held[name] = clear
+    if others and sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; gives freed memory back
+        if trim:
+            trim(0)

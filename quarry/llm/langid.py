@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import holding
+
 #: The bounded sample: labelled documents that the network is fitted on, and windows from each.
 SAMPLE_DOCUMENTS, SAMPLE_WINDOWS = 4000, 4
 WINDOW, CLASSES, FILTERS, WIDTHS = 128, 64, 12, (2, 3, 4)
@@ -178,6 +180,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     scorer = Scorer(net) if net else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("langid", lambda: None)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -203,6 +206,7 @@ def in_known_language(docs: DataFrame, net: Network | None, least: float | None
     bound = least if least is not None else least_score(len(net.languages) if net else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("langid", lambda: None)
         for batch in batches:
             texts, good = batch.column(columns.index("text")), []
             for at in range(0, batch.num_rows, 64):

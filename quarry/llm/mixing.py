@@ -164,11 +164,12 @@ def mixed_documents(docs: DataFrame, cap: float = 3.0, weights: tuple[float, ...
     keys = cut(per_row.filter("copies > 0"), "mix-copies")
     same = F.col(at["doc_id"]).eqNullSafe(F.col("id")) & F.col(at["source"]).eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text_hash"))
     own = list(at.values())
-    once = joined(plain, keys.filter("rows = 1"), same).withColumn("share", F.col("copies"))
+    # there are as many keys as documents: they are shuffled at every size
+    once = plain.join(keys.filter("rows = 1").hint("shuffle_merge"), same).withColumn("share", F.col("copies"))
     several = keys.filter("rows > 1")
     if not several.isEmpty():
         # numbered within stretches of the written table, and those added up
-        twins = cut(joined(plain, several, same).withColumn("uid", F.monotonically_increasing_id()), "mix-twins")
+        twins = cut(plain.join(several.hint("shuffle_merge"), same).withColumn("uid", F.monotonically_increasing_id()), "mix-twins")
         key = ["id", "of", "text_hash"]
         parted = twins.withColumn("stretch", F.expr(f"uid div {COPIES}"))
         before = parted.groupBy(*key, "stretch").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.partitionBy(*key).orderBy("stretch")) - F.col("n"))

@@ -102,11 +102,8 @@ def terms(text: Column) -> Column:
 
 
 def frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term, n_t: in how many of all documents each of the given terms occurs."""
+    """term, n_t: in how many of all documents each of the given terms occurs, summed up before anything moves."""
     found = texts.select(F.explode(terms(F.col("text"))).alias("term"))
-    side = sized(wanted)
-    if fits(side):
-        return found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     return found.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
 
 
