@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import holding
 
 #: Words and pairs that a task remembers; beyond that it starts anew.
-CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 250_000, 300_000, 64
+CACHE_WORDS, CACHE_PAIRS, LONG_WORD = 120_000, 200_000, 64
 #: Symbols up to which merging looks through all pairs instead of keeping a heap.
 SHORT = 48
 #: Rows and characters that are tokenised at once.
