@@ -1,25 +1,44 @@
-"""Lexical retrieval: postings, corpus statistics and Okapi BM25 with a floor for frequent terms."""
+"""Lexical retrieval: postings, corpus statistics and Okapi BM25 with a floor for frequent terms.
+
+Tables hold one row per document. The tokenizer is a parameter, a function from a text Column to an array of terms;
+index and queries take the same one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import lexical_tokens
 
+Tokenizer = Callable[[Column], Column]
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Bytes and rows up to which the terms of a query set are sent to all tasks.
+SMALL_BYTES, SMALL_ROWS = 4 << 20, 1 << 16
+
 
+def small_terms(terms: DataFrame) -> DataFrame:
+    """terms (term) for a join with words: broadcast if they were counted and found small, else left to a shuffle.
+    The count reads no further than SMALL_ROWS."""
+    n, size = terms.limit(SMALL_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()
+    return F.broadcast(terms) if n <= SMALL_ROWS and size <= SMALL_BYTES else terms
 
-def postings(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, *keep, term, tf, dl. Terms are counted before anything moves: one row per document and term."""
-    tokens = docs.select("doc_id", *keep, lexical_tokens(F.col("text")).alias("tokens"))
-    rows = tokens.select("doc_id", *keep, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+
+def postings(docs: DataFrame, *keep: str, terms: DataFrame | None = None, tokens: Tokenizer = lexical_tokens) -> DataFrame:
+    """doc_id, *keep, term, tf, dl: one row per document and term, of the given `terms` alone where there are some.
+    Words of other terms end before anything moves."""
+    words = docs.select("doc_id", *keep, tokens(F.col("text")).alias("tokens"))
+    rows = words.select("doc_id", *keep, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(small_terms(terms.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("doc_id", *keep, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select("doc_id", *keep, F.size(lexical_tokens(F.col("text"))).cast("long").alias("dl"))
+def lengths(docs: DataFrame, *keep: str, tokens: Tokenizer = lexical_tokens) -> DataFrame:
+    return docs.select("doc_id", *keep, F.size(tokens(F.col("text"))).cast("long").alias("dl"))
 
 
 def statistics(sizes: DataFrame, *by: str) -> DataFrame:
@@ -27,30 +46,35 @@ def statistics(sizes: DataFrame, *by: str) -> DataFrame:
     return sizes.filter("dl > 0").groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def idf(posts: DataFrame, stats: DataFrame, *by: str) -> DataFrame:
+def frequencies(docs: DataFrame, *by: str, tokens: Tokenizer = lexical_tokens) -> DataFrame:
+    """term, df. A document's terms are made distinct in its row, so that only counts of terms move."""
+    return docs.select(*by, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
+
+
+def idf(df: DataFrame, stats: DataFrame, *by: str) -> DataFrame:
     """term, df, idf. Negative values become EPSILON times the mean over the vocabulary."""
-    df = posts.groupBy(*by, "term").agg(F.count("*").alias("df"))
     raw = (df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     means = raw.groupBy(*by).agg(F.avg("raw").alias("mean_raw"))
     joined = raw.join(means, list(by)) if by else raw.crossJoin(F.broadcast(means))
     return joined.select(*by, "term", "df", "n_docs", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, tokens: Tokenizer = lexical_tokens) -> DataFrame:
     """query_id, term, qtf: a repeated query term counts as often."""
-    return queries.select("query_id", F.explode(lexical_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, *by: str) -> DataFrame:
-    """query_id, doc_id, score (6 decimals) of documents with a query term. With `by`, statistics are those of
-    the filtered part, and queries carry the same columns."""
-    weights = idf(posts, stats, *by)
-    wanted = terms.join(weights, [*by, "term"])
+def bm25(docs: DataFrame, queries: DataFrame, *by: str, tokens: Tokenizer = lexical_tokens) -> DataFrame:
+    """query_id, *by, doc_id, score (6 decimals) of documents with a query term. With `by` each part of the
+    documents has its own statistics, and each query is put to every part."""
+    terms = query_terms(queries, tokens)
+    stats = statistics(lengths(docs, *by, tokens=tokens), *by)
+    wanted = idf(frequencies(docs, *by, tokens=tokens), stats, *by).join(terms, "term")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = posts.join(wanted, [*by, "term"])
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"))
+    hits = postings(docs, *by, terms=terms, tokens=tokens).join(wanted, [*by, "term"])
+    return hits.groupBy("query_id", *by, "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"))
 
 
-def top(hits: DataFrame, k: int, ident: str = "doc_id") -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), ident)
+def top(hits: DataFrame, k: int, *by: str, ident: str = "doc_id") -> DataFrame:
+    order = W.partitionBy("query_id", *by).orderBy(F.col("score").desc(), ident)
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

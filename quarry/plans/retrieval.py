@@ -155,8 +155,7 @@ def questions(spark, d):
 
 
 def bm25_hits(spark, d):
-    docs = read(spark, d, "documents")
-    return lexical.bm25(lexical.postings(docs), lexical.statistics(lexical.lengths(docs)), lexical.query_terms(questions(spark, d)))
+    return lexical.bm25(read(spark, d, "documents"), questions(spark, d))
 
 
 def bm25_stats(spark, d):
@@ -166,7 +165,7 @@ def bm25_stats(spark, d):
 
 def bm25_idf(spark, d):
     docs = read(spark, d, "documents")
-    return lexical.idf(lexical.postings(docs), lexical.statistics(lexical.lengths(docs))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.idf(lexical.frequencies(docs), lexical.statistics(lexical.lengths(docs))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, d):
@@ -175,12 +174,8 @@ def bm25_topk(spark, d):
 
 def bm25_filtered(spark, d):
     """Within one language, whose statistics are its own."""
-    docs = read(spark, d, "documents")
-    terms = lexical.query_terms(questions(spark, d)).crossJoin(F.broadcast(docs.select("lang").distinct()))
-    hits = lexical.bm25(lexical.postings(docs, "lang"), lexical.statistics(lexical.lengths(docs, "lang"), "lang"), terms, "lang")
-    in_lang = hits.join(docs.select("doc_id", "lang"), "doc_id")
-    order = W.partitionBy("query_id", "lang").orderBy(F.col("score").desc(), "doc_id")
-    return in_lang.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("query_id", "lang", "rank", "doc_id", "score")
+    hits = lexical.bm25(read(spark, d, "documents"), questions(spark, d), "lang")
+    return lexical.top(hits, 3, "lang").select("query_id", "lang", "rank", "doc_id", "score")
 
 
 def hybrid(spark, d, k=K):
@@ -220,7 +215,8 @@ def gold(spark, d):
     docs = read(spark, d, "documents").select("doc_id", T.lexical_tokens(F.col("text")).alias("t"))
     words = docs.select("doc_id", F.explode(F.array_distinct("t")).alias("term"))
     terms = lexical.query_terms(questions(spark, d)).withColumn("n", F.count("*").over(W.partitionBy("query_id")))
-    return terms.join(words, "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("found")).filter("found >= 0.6 * n").select("query_id", "doc_id")
+    asked = words.join(lexical.small_terms(terms.select("term").distinct()), "term", "left_semi")
+    return asked.join(terms, "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("found")).filter("found >= 0.6 * n").select("query_id", "doc_id")
 
 
 def metrics_at_k(spark, d):
