@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.text import jaccard
+
 SOFT, COVERED = 0.80, 0.6
 
 
@@ -39,6 +41,37 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SOFT) ->
     return both.filter(value >= threshold).select("a", "b", F.round(value, 6).alias("similarity"))
 
 
+def soft(ranked: DataFrame, gold: DataFrame, texts: DataFrame, ks: list[int], threshold: float = SOFT) -> DataFrame:
+    """query_id, k, hit_soft, recall_soft, added: returned documents count as gold too if their n-grams are similar
+    enough to those of one of the query's gold documents. texts: doc_id, grams. Copies of a gold document don't lift
+    recall above 1; `added` is how many documents the query's list gains. Only a query's own documents are compared,
+    those of sizes that leave the threshold within reach."""
+    wanted = gold.distinct()
+    size = F.size("grams").alias("n")
+    a = wanted.join(texts.select("doc_id", F.col("grams").alias("gold_grams"), size.alias("gold_n")), "doc_id").filter("gold_n > 0").drop("doc_id")
+    b = ranked.select("query_id", "doc_id").distinct().join(wanted, ["query_id", "doc_id"], "left_anti").join(texts.select("doc_id", "grams", size), "doc_id").filter("n > 0")
+    near = (F.least("n", "gold_n") >= F.lit(threshold) * F.greatest("n", "gold_n")) & (jaccard(F.col("grams"), F.col("gold_grams")) >= threshold)
+    more = b.join(a, "query_id").filter(near).select("query_id", "doc_id").distinct()
+    n_gold = wanted.groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    n_more = more.groupBy("query_id").agg(F.count("*").alias("added"))
+    hits = ranked.join(wanted.unionByName(more), ["query_id", "doc_id"], "left_semi").select("query_id", "rank")
+    per = n_gold.join(n_more, "query_id", "left").fillna(0, ["added"]).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    counted = per.join(hits, "query_id", "left").groupBy("query_id", "k", "n_gold", "added").agg(F.count_if(F.col("rank") <= F.col("k")).alias("hits"))
+    return counted.select("query_id", "k", F.when(F.col("hits") > 0, 1.0).otherwise(0.0).alias("hit_soft"), F.round(F.least("hits", "n_gold") / F.col("n_gold"), 6).alias("recall_soft"), "added")
+
+
+def wide(scores: DataFrame, key: str, ks: list[int], names: list[str]) -> DataFrame:
+    """One row for each key, with a column `name_at_k` for each measure and k: one aggregation, the ks being known."""
+    cells = [F.max(F.when(F.col("k") == k, F.col(n))).alias(f"{n}_at_{k}") for n in names for k in ks]
+    return scores.groupBy(key).agg(*cells)
+
+
+def by_gold_count(scores: DataFrame, gold: DataFrame, *by: str) -> DataFrame:
+    """*by, n_gold, n, recall (mean): whether queries with many gold documents do worse."""
+    n_gold = gold.distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    return scores.join(n_gold, "query_id").groupBy(*by, "n_gold").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 5).alias("recall"))
+
+
 def coverage(gold: DataFrame, returned: DataFrame) -> DataFrame:
     """gold: query_id, gold_no, grams; returned: query_id, grams (of the first k). query_id, coverage (mean share of a
     gold text's n-grams that are returned), any_covered, all_covered. A gold text without n-grams has coverage 0."""

@@ -244,6 +244,25 @@ def soft_match_pairs(spark, d):
     return metrics.similar_pairs(items.withColumnRenamed("item_id", "a"), docs.withColumnRenamed("doc_id", "b"), 0.2)
 
 
+def soft_metrics(spark, d):
+    """Similar from 0.3, so that other texts than copies count."""
+    texts = read(spark, d, "documents").select("doc_id", T.ngrams(F.col("text")).alias("grams"))
+    return metrics.soft(ranked_hits(spark, d), gold(spark, d), texts, KS, 0.3)
+
+
+def metrics_wide(spark, d):
+    return metrics.wide(metrics_at_k(spark, d), "query_id", KS, ["recall", "ndcg"])
+
+
+def metrics_by_gold_count(spark, d):
+    """Means by stage, length class of the question and number of gold documents."""
+    level = questions(spark, d).select("query_id", F.when(F.length("text") > 400, "long").otherwise("short").alias("level"))
+    lexical_hits = metrics.at_k(ranked_hits(spark, d), gold(spark, d), [5]).withColumn("stage", F.lit("bm25"))
+    fused_hits = metrics.at_k(hybrid(spark, d).select("query_id", "rank", "doc_id"), gold(spark, d), [5]).withColumn("stage", F.lit("hybrid"))
+    scores = lexical_hits.unionByName(fused_hits).join(level, "query_id")
+    return metrics.by_gold_count(scores, gold(spark, d), "stage", "level")
+
+
 def coverage_at_k(spark, d):
     texts = read(spark, d, "documents").select("doc_id", "text")
     returned = ranked_hits(spark, d).filter(F.col("rank") <= K).join(texts, "doc_id").select("query_id", T.ngrams(F.col("text")).alias("grams"))
@@ -407,6 +426,9 @@ SQL = {
     "first_hit_rank": f"WITH {BM25}, {GOLD} SELECT * FROM {FIRST.format(ranks='(SELECT * FROM ranked WHERE rank <= 10)')}",
     "failures": f"WITH {BM25}, {GOLD} SELECT * FROM {FIRST.format(ranks='(SELECT * FROM ranked WHERE rank <= 10)')} WHERE first_rank = -1",
     "soft_match_pairs": f"WITH a AS {grams('benchmark', 'item_id')}, d AS {grams('documents', 'doc_id')}, x AS (SELECT item_id AS a, len(g) AS na, unnest(g) AS w FROM a), y AS (SELECT doc_id AS b, len(g) AS nb, unnest(g) AS w FROM d), j AS (SELECT a, b, na, nb, count(*) AS n FROM x JOIN y USING (w) GROUP BY ALL) SELECT a, b, round(n / (na + nb - n)::DOUBLE, 6) AS similarity FROM j WHERE n / (na + nb - n)::DOUBLE >= 0.2",
+    "soft_metrics": f"WITH {METRICS}, d AS {grams('documents', 'doc_id')}, r AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 10), more AS (SELECT DISTINCT r.query_id, r.doc_id FROM r JOIN gold g ON g.query_id = r.query_id JOIN d x ON x.doc_id = r.doc_id JOIN d y ON y.doc_id = g.doc_id WHERE len(x.g) > 0 AND len(y.g) > 0 AND len(list_intersect(x.g, y.g)) >= 0.3 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AND (r.query_id, r.doc_id) NOT IN (SELECT (query_id, doc_id) FROM gold)), nm AS (SELECT query_id, count(*) AS added FROM more GROUP BY ALL), ok AS (SELECT query_id, doc_id FROM gold UNION SELECT * FROM more), c AS (SELECT ng.query_id, k, n_gold, coalesce(any_value(added), 0) AS added, count(*) FILTER (WHERE r.rank <= k AND ok.doc_id IS NOT NULL) AS hits FROM ng CROSS JOIN (VALUES (1), (3), (5)) AS ks(k) LEFT JOIN nm ON nm.query_id = ng.query_id LEFT JOIN r ON r.query_id = ng.query_id LEFT JOIN ok ON ok.query_id = r.query_id AND ok.doc_id = r.doc_id GROUP BY ALL) SELECT query_id, k, CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_soft, round(least(hits, n_gold) / n_gold::DOUBLE, 6) AS recall_soft, added FROM c",
+    "metrics_wide": f"WITH {METRICS} SELECT query_id, " + ", ".join(f"max({n}) FILTER (WHERE k = {k}) AS {n}_at_{k}" for n in ("recall", "ndcg") for k in (1, 3, 5)) + " FROM met GROUP BY query_id",
+    "metrics_by_gold_count": f"WITH {RERANK}, {GOLD}, ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY ALL), st AS (SELECT 'bm25' AS stage, query_id, doc_id FROM ranked WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, doc_id FROM hyb WHERE rank <= 5), c AS (SELECT s.stage, ng.query_id, n_gold, count(g.doc_id) AS hits FROM ng CROSS JOIN (VALUES ('bm25'), ('hybrid')) AS s(stage) LEFT JOIN st ON st.stage = s.stage AND st.query_id = ng.query_id LEFT JOIN gold g ON g.query_id = st.query_id AND g.doc_id = st.doc_id GROUP BY ALL) SELECT stage, CASE WHEN length(text) > 400 THEN 'long' ELSE 'short' END AS level, n_gold, count(*) AS n, round(avg(round(hits / n_gold::DOUBLE, 6)), 5) AS recall FROM c JOIN benchmark ON item_id = query_id GROUP BY ALL",
     "coverage_at_k": f"WITH {BM25}, d AS {grams('documents', 'doc_id')}, q AS {grams('benchmark', 'item_id')}, pool AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(g) AS w FROM ranked JOIN d USING (doc_id) WHERE rank <= 5)), p AS (SELECT item_id AS query_id, unnest(g) AS w FROM q), c AS (SELECT p.query_id, count(pool.w) / count(*)::DOUBLE AS share FROM p LEFT JOIN pool ON pool.query_id = p.query_id AND pool.w = p.w GROUP BY p.query_id) SELECT query_id, round(share, 6) AS coverage, CASE WHEN share >= 0.6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS any_covered, CASE WHEN share >= 0.6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS all_covered FROM c",
     "stage_delta": f"WITH {RERANK}, {GOLD}, a AS {FIRST.format(ranks='(SELECT * FROM hyb WHERE rank <= 5)')}, z AS {FIRST.format(ranks='(SELECT query_id, doc_id, new_rank AS rank FROM rer WHERE new_rank <= 5)')} SELECT a.query_id, a.first_rank, z.first_rank AS after, z.first_rank - a.first_rank AS delta FROM a JOIN z USING (query_id)",
     "latest_results": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
