@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, inventory, quality, tables
+from quarry.operators import chunking, inventory, quality, table_chunks, tables
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -200,6 +200,16 @@ def gate_fk(spark, d):
     return quality.orphans(read(spark, d, "labels"), read(spark, d, "documents"), "doc_id", "doc_id").select("doc_id")
 
 
+def table_segments_chunked(spark, d):
+    """Each order's lines as a table, in parts of at most 160 tokens with up to 22 of the part before, that is, one row
+    at most; several are left to the tests of the operator."""
+    lines = read(spark, d, "lineitem")
+    made = tables.gfm(lines, ["l_orderkey"], "l_linenumber", ["l_linenumber", "l_partkey", "l_suppkey"])
+    blocks = made.select(F.col("l_orderkey").alias("key"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("prefix"), "markdown")
+    out = table_chunks.chunked(blocks, 160, 22)
+    return out.select(F.col("key").alias("l_orderkey"), "part_no", "part_count", "row_start", "row_end", "size", "overlap_mode", "overlap", F.md5("text").alias("text_md5"))
+
+
 def gate_rules(spark, d):
     docs = read(spark, d, "documents")
     return quality.violations(docs, n_without_text=F.trim("text") != "", n_wrong_length=F.length("text") == F.col("n_chars"), n_replaced=~F.contains("text", F.lit("�")), n_payload=~F.rlike("text", F.lit("data:image/[a-z]+;base64")))
@@ -251,6 +261,7 @@ SQL = {
     "lines_from_words": f"WITH {WORDS}, m AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY l_orderkey ORDER BY y, x, word_id) <= 3 THEN 0 ELSE 1 END AS new FROM words), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY l_orderkey ORDER BY y, x, word_id) AS BIGINT) AS line_no FROM m) SELECT l_orderkey, line_no, count(*) AS n_words, min(y) AS top FROM s GROUP BY ALL",
     "cluster_edges": f"WITH RECURSIVE {WORDS}, s AS (SELECT l_orderkey, x, row_number() OVER (PARTITION BY l_orderkey ORDER BY x) AS pos FROM words), f AS (SELECT l_orderkey, pos, x AS edge, true AS new FROM s WHERE pos = 1 UNION ALL SELECT s.l_orderkey, s.pos, CASE WHEN s.x - f.edge <= 50 THEN f.edge ELSE s.x END, s.x - f.edge > 50 FROM f JOIN s ON s.l_orderkey = f.l_orderkey AND s.pos = f.pos + 1) SELECT l_orderkey, count(*) FILTER (WHERE new) AS n_edges, round(sum(edge) FILTER (WHERE new), 2) AS sum_edges FROM f GROUP BY l_orderkey",
     "table_row_pack": "WITH RECURSIVE s AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS pos FROM lineitem), f AS (SELECT l_orderkey, pos, 1 AS part, n AS total FROM s WHERE pos = 1 UNION ALL SELECT s.l_orderkey, s.pos, CASE WHEN f.total + s.n <= 70 THEN f.part ELSE f.part + 1 END, CASE WHEN f.total + s.n <= 70 THEN f.total + s.n ELSE s.n END FROM f JOIN s ON s.l_orderkey = f.l_orderkey AND s.pos = f.pos + 1), p AS (SELECT l_orderkey, part, max(total) + 10 AS size FROM f GROUP BY ALL) SELECT l_orderkey, count(*) AS n_parts, string_agg(size, ',' ORDER BY part) AS part_sizes FROM p GROUP BY l_orderkey",
+    "table_segments_chunked": "WITH RECURSIVE s AS (SELECT l_orderkey, '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_suppkey || ' |' AS line, row_number() OVER w AS pos, coalesce(length(lag(l_linenumber || ' | ' || l_partkey || ' | ' || l_suppkey) OVER w) + 4, 0) AS before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_suppkey || ' |')), b AS (SELECT l_orderkey, 160 - length('order ' || l_orderkey) - 2 - length('| l_linenumber | l_partkey | l_suppkey |') - 1 - length('| --- | --- | --- |') AS room FROM s GROUP BY l_orderkey), f AS (SELECT l_orderkey, pos, 1 AS part, pos AS first, CAST(0 AS BIGINT) AS again, length(line) + 1 AS total FROM s WHERE pos = 1 UNION ALL SELECT s.l_orderkey, s.pos, CASE WHEN total + 1 + length(line) <= room THEN part ELSE part + 1 END, CASE WHEN total + 1 + length(line) <= room THEN first WHEN before <= 22 THEN s.pos - 1 ELSE s.pos END, CASE WHEN total + 1 + length(line) <= room THEN again WHEN before <= 22 THEN before ELSE 0 END, CASE WHEN total + 1 + length(line) <= room THEN total + 1 + length(line) WHEN before <= 22 THEN before + 1 + length(line) + 1 ELSE length(line) + 1 END FROM f JOIN s ON s.l_orderkey = f.l_orderkey AND s.pos = f.pos + 1 JOIN b ON b.l_orderkey = s.l_orderkey), p AS (SELECT l_orderkey, part, min(first) AS row_start, max(pos) AS row_end, max(again) AS again FROM f GROUP BY ALL), t AS (SELECT p.l_orderkey, part, row_start, row_end, again, '| l_linenumber | l_partkey | l_suppkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS text FROM p JOIN s ON s.l_orderkey = p.l_orderkey AND s.pos BETWEEN row_start AND row_end GROUP BY ALL) SELECT l_orderkey, CAST(part AS BIGINT) AS part_no, count(*) OVER (PARTITION BY l_orderkey) AS part_count, row_start, row_end, length('order ' || l_orderkey) + 2 + length(text) AS size, CASE WHEN part = 1 THEN 'none' WHEN again > 0 THEN 'whole_row_plus_header_repeat' ELSE 'header_repeat_only' END AS overlap_mode, again AS overlap, md5(text) AS text_md5 FROM t",
     "gate_unique": "WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, count(*) FILTER (WHERE n > 1) AS n_repeated FROM g",
     "gate_contiguity": "SELECT l_orderkey, count(*) AS n_rows, min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY l_orderkey",
     "gate_fk": "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
