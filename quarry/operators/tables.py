@@ -10,6 +10,8 @@ from quarry.functions.text import escape_cell
 
 #: Points within which words share a line and edges are one.
 LINE_TOLERANCE = 3.0
+#: Words that one task sorts.
+WORDS = 500_000
 
 
 def gfm(rows: DataFrame, group: list[str], order: str, columns: list[str]) -> DataFrame:
@@ -57,7 +59,11 @@ def words_in_boxes(words: DataFrame, boxes: DataFrame, key: str, cell: float = 6
 
 
 def text_lines(words: DataFrame, key: str, tolerance: float = LINE_TOLERANCE) -> DataFrame:
-    """words: key, word_id, x, y, word. Adds line_no: a word within tolerance of the one above shares its line."""
+    """words: key, word_id, x, y, word. Adds line_no: a word within tolerance of the one above shares its line.
+    Words are counted and dealt to so many tasks that one sorts about WORDS of them, at any size."""
+    spark = words.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // WORDS))
+    words = words.repartition(parts, key)
     order = W.partitionBy(key).orderBy("y", "x", "word_id")
     new = F.when(F.col("y") - F.lag("y").over(order) <= tolerance, 0).otherwise(1)
     return words.withColumn("new", new).withColumn("line_no", F.sum("new").over(order).cast("long")).drop("new")
