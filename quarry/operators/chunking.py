@@ -6,14 +6,17 @@ before within a document, so it folds over one document's sentences at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def stride_windows(docs: DataFrame, size: int = 512, overlap: int = 102) -> DataFrame:
@@ -158,6 +161,29 @@ def pack_sentences(sentences: DataFrame, limit: int = 512, overlap: int = 51, mi
     return sentences.select("doc_id", "sentence_index", "n_tokens", "cut_after").groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_order long, first_sentence long, last_sentence long, size long, overlap long, mode string")
 
 
+def pack_texts(docs: DataFrame, splitter: Callable[[Column], Column], limit: int = 512, overlap: int = 51, minimum_tail: int = 0, tokens: Callable[[Column], Column] = F.length) -> DataFrame:
+    """What pack_sentences gives for the sentences of each document, without cuts: as these are in one row already,
+    only their lengths leave it, and nothing is shuffled or sorted."""
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("chunk_order", "first_sentence", "last_sentence", "size", "overlap")], T.StructField("mode", T.StringType())])
+    out = to_arrow_schema(schema)
+
+    def fold(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            row: list[int] = []
+            order: list[int] = []
+            chunks: list[Chunk] = []
+            for i, lengths in enumerate(batch["lengths"].to_pylist()):
+                packed = pack(lengths or [], limit, overlap, minimum_tail)
+                row += [i] * len(packed)
+                order += range(1, len(packed) + 1)
+                chunks += packed
+            numbers = [order, *[[getattr(c, n) for c in chunks] for n in ("first", "last", "size", "overlap")]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row, pa.int64())), *[pa.array(n, pa.int64()) for n in numbers], pa.array([c.mode for c in chunks], pa.string())], schema=out)
+
+    lengths = F.transform(splitter(F.col("text")), lambda s: tokens(s).cast("long"))
+    return docs.select("doc_id", lengths.alias("lengths")).mapInArrow(fold, schema)
+
+
 def sentence_rows(docs: DataFrame, splitter: Callable[[Column], Column], tokens: Callable[[Column], Column] = F.length) -> DataFrame:
     """doc_id, sentence_index (from 0), sentence, n_tokens, cut_after = false."""
     rows = docs.select("doc_id", F.posexplode(splitter(F.col("text"))).alias("sentence_index", "sentence"))
