@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarry.functions.text import jaccard
+from quarry.functions.text import ngrams
+from quarry.operators import matching
+from quarry.session import cut, joined
 
-SOFT, COVERED = 0.80, 0.6
+#: GRAMS: n-grams of returned documents that go to all tasks at once, in soft().
+SOFT, COVERED, GRAMS = 0.80, 0.6, 1 << 22
 
 
 def at_k(ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
@@ -33,25 +43,19 @@ def first_hit(ranked: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SOFT) -> DataFrame:
-    """left: a, grams; right: b, grams. Pairs whose n-gram sets are similar enough, by an equi-join on n-grams."""
-    a = left.select("a", F.size("grams").alias("na"), F.explode("grams").alias("g"))
-    b = right.select("b", F.size("grams").alias("nb"), F.explode("grams").alias("g"))
-    both = a.join(b, "g").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    value = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
-    return both.filter(value >= threshold).select("a", "b", F.round(value, 6).alias("similarity"))
+    """left: a, grams; right: b, grams; both distinct. Pairs whose n-gram sets are similar enough. left is the side of
+    stated queries, whose n-grams go to all tasks in blocks; right stays where it is."""
+    asked = left.select("a", F.explode("grams").alias("term"))
+    return matching.overlaps(right.select("b", F.col("grams").alias("terms")), asked, "b", "a", similar=threshold).select("a", "b", "similarity")
 
 
-def soft(ranked: DataFrame, gold: DataFrame, texts: DataFrame, ks: list[int], threshold: float = SOFT) -> DataFrame:
+def soft(ranked: DataFrame, gold: DataFrame, texts: DataFrame, ks: list[int], threshold: float = SOFT, grams: Callable[[Column], Column] = ngrams) -> DataFrame:
     """query_id, k, hit_soft, recall_soft, added: returned documents count as gold too if their n-grams are similar
-    enough to those of one of the query's gold documents. texts: doc_id, grams. Copies of a gold document don't lift
-    recall above 1; `added` is how many documents the query's list gains. Only a query's own documents are compared,
-    those of sizes that leave the threshold within reach."""
-    wanted = gold.distinct()
-    size = F.size("grams").alias("n")
-    a = wanted.join(texts.select("doc_id", F.col("grams").alias("gold_grams"), size.alias("gold_n")), "doc_id").filter("gold_n > 0").drop("doc_id")
-    b = ranked.select("query_id", "doc_id").distinct().join(wanted, ["query_id", "doc_id"], "left_anti").join(texts.select("doc_id", "grams", size), "doc_id").filter("n > 0")
-    near = (F.least("n", "gold_n") >= F.lit(threshold) * F.greatest("n", "gold_n")) & (jaccard(F.col("grams"), F.col("gold_grams")) >= threshold)
-    more = b.join(a, "query_id").filter(near).select("query_id", "doc_id").distinct()
+    enough to those of one of the query's gold documents. texts: doc_id, text. Copies of a gold document don't lift
+    recall above 1; `added` is how many documents the query's list gains. Only a query's own documents are compared."""
+    wanted, ranked = cut(gold.distinct(), "gold"), cut(ranked.select("query_id", "doc_id", "rank"), "ranked")
+    pending = ranked.join(wanted.select("query_id").distinct(), "query_id", "left_semi").join(wanted, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id").distinct()
+    more = cut(_similar(cut(pending, "pending"), wanted, texts, threshold, grams).distinct(), "more")
     n_gold = wanted.groupBy("query_id").agg(F.count("*").alias("n_gold"))
     n_more = more.groupBy("query_id").agg(F.count("*").alias("added"))
     hits = ranked.join(wanted.unionByName(more), ["query_id", "doc_id"], "left_semi").select("query_id", "rank")
@@ -60,6 +64,68 @@ def soft(ranked: DataFrame, gold: DataFrame, texts: DataFrame, ks: list[int], th
     return counted.select("query_id", "k", F.when(F.col("hits") > 0, 1.0).otherwise(0.0).alias("hit_soft"), F.round(F.least("hits", "n_gold") / F.col("n_gold"), 6).alias("recall_soft"), "added")
 
 
+def _similar(pending: DataFrame, gold: DataFrame, texts: DataFrame, threshold: float, grams: Callable[[Column], Column]) -> DataFrame:
+    """The pairs (query_id, doc_id) of pending for which a gold document of the query is similar enough; a pair may
+    come from several tasks. A gold document's n-grams are made once for each block of queries, where its text is;
+    those of a block's pending documents go to all tasks. A task compares a pair until it is found."""
+    sets = cut(joined(texts.select("doc_id", "text"), cut(pending.select("doc_id").distinct(), "returned"), "doc_id").select("doc_id", grams(F.col("text")).alias("grams")), "grams")
+    total = pending.join(sets.select("doc_id", F.size("grams").alias("n")), "doc_id").agg(F.sum("n")).first()[0] or 0
+    n_blocks = -(-total // GRAMS) or 1
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    schema = T.StructType([pending.schema["query_id"], pending.schema["doc_id"]])
+    return matching.union([_similar_block(pending.filter(part == i), gold.filter(part == i), texts, sets, threshold, grams, schema) for i in range(n_blocks)])
+
+
+def _similar_block(pending: DataFrame, gold: DataFrame, texts: DataFrame, sets: DataFrame, threshold: float, grams: Callable[[Column], Column], schema: T.StructType) -> DataFrame:
+    out = to_arrow_schema(schema)
+    table = sets.join(pending.select("doc_id").distinct(), "doc_id").toArrow()
+    lists = table["grams"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    terms, ids = coded.dictionary, coded.indices.to_numpy()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    place = {doc: i for i, doc in enumerate(table["doc_id"].to_pylist())}
+    names = list(place)
+    asked: dict = {}
+    for r in pending.collect():
+        if r["doc_id"] in place:
+            asked.setdefault(r["query_id"], []).append(place[r["doc_id"]])
+
+    def scan(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(max(1, len(terms)), bool)
+        left = {q: list(docs) for q, docs in asked.items()}
+        for batch in incoming:
+            sizes = pc.fill_null(pc.list_value_length(batch["grams"]), 0).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(batch["grams"].flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            until = np.cumsum(sizes)
+            found = []
+            for queries, n, end in zip(batch["queries"].to_pylist(), sizes.tolist(), until.tolist(), strict=True):
+                todo = {d for q in queries for d in left.get(q, ())}
+                if not n or not todo:
+                    continue
+                own = at[end - n : end]
+                own = own[own >= 0]
+                there[own] = True
+                near = set()
+                for d in todo:
+                    start = int(ends[d - 1]) if d else 0
+                    m = int(ends[d]) - start
+                    if m and min(n, m) / max(n, m) >= threshold:
+                        both = int(np.count_nonzero(there[ids[start : start + m]]))
+                        if both / (n + m - both) >= threshold:
+                            near.add(d)
+                there[own] = False
+                if near:
+                    for q in queries:
+                        found += [(q, d) for d in left.get(q, ()) if d in near]
+                        if q in left:
+                            left[q] = [d for d in left[q] if d not in near]
+            if found:
+                yield from matching.batches([pa.array([q for q, _ in found], out[0].type), pa.array([names[d] for _, d in found], out[1].type)], out)
+
+    by_doc = cut(gold.groupBy("doc_id").agg(F.collect_list("query_id").alias("queries")), "gold-docs")
+    return joined(texts.select("doc_id", "text"), by_doc, "doc_id").select("queries", grams(F.col("text")).alias("grams")).mapInArrow(scan, schema)
+
+
 def wide(scores: DataFrame, key: str, ks: list[int], names: list[str]) -> DataFrame:
     """One row for each key, with a column `name_at_k` for each measure and k: one aggregation, the ks being known."""
     cells = [F.max(F.when(F.col("k") == k, F.col(n))).alias(f"{n}_at_{k}") for n in names for k in ks]
