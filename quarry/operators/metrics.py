@@ -141,7 +141,9 @@ def by_gold_count(scores: DataFrame, gold: DataFrame, *by: str) -> DataFrame:
 def coverage(gold: DataFrame, returned: DataFrame) -> DataFrame:
     """gold: query_id, gold_no, grams; returned: query_id, grams (of the first k). query_id, coverage (mean share of a
     gold text's n-grams that are returned), any_covered, all_covered. A gold text without n-grams has coverage 0."""
-    pool = returned.select("query_id", F.explode("grams").alias("g")).distinct().withColumn("there", F.lit(1))
+    # outer, though null matches nothing: from a plain explode Spark infers a filter, and puts it below a join, where it
+    # makes the n-grams of every text
+    pool = returned.select("query_id", F.explode_outer("grams").alias("g")).distinct().withColumn("there", F.lit(1))
     parts = gold.select("query_id", "gold_no", F.explode_outer("grams").alias("g")).join(pool, ["query_id", "g"], "left")
     each = parts.groupBy("query_id", "gold_no").agg((F.coalesce(F.sum("there"), F.lit(0)) / F.greatest(F.lit(1), F.count("g"))).alias("share"))
     return each.groupBy("query_id").agg(F.round(F.avg("share"), 6).alias("coverage"), F.when(F.max("share") >= COVERED, 1.0).otherwise(0.0).alias("any_covered"), F.when(F.min("share") >= COVERED, 1.0).otherwise(0.0).alias("all_covered"))
