@@ -54,7 +54,7 @@ def sizes(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["metrics_at_k", "rerank_topk"])
+@pytest.mark.parametrize("name", ["metrics_at_k", "rerank_topk", "dedupe_hits"])
 def test_postings_are_not_shuffled(spark, sizes, name):
     moved = []
     for at in sizes:
