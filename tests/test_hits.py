@@ -54,7 +54,7 @@ def sizes(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["format_context", "metrics_at_k", "first_hit_rank", "rerank_topk", "dedupe_hits"])
+@pytest.mark.parametrize("name", ["format_context", "metrics_at_k", "metrics_by_level", "first_hit_rank", "rerank_topk", "dedupe_hits"])
 def test_postings_are_not_shuffled(spark, sizes, name):
     moved = []
     for at in sizes:
